@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "truncation": ["p1_found", "p1_rates"],
     "lines": ["p3_found", "p3_cleaned", "p3_by_source"],
 }
 
