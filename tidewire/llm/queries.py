@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "truncation": ["p1_found", "p1_rates"],
+    "history": ["p2_found", "p2_verdicts"],
     "lines": ["p3_found", "p3_cleaned", "p3_by_source"],
+    "survivor": ["p6_found", "p6_records"],
 }
 
 
