@@ -45,7 +45,7 @@ _ADDED = (
 _BRACKETED_NAME = r"\s*\((?:\p{Lu}[\p{L}\p{N}'’.&-]*\s?){1,6}\)\s*\z"
 _UNCLOSED = r"(?s)\s*(?:<[^<>]*|&(?:#[xX]?[0-9a-fA-F]*|[a-zA-Z]{0,8}))\z"
 _END = r"[.!?。！？؟।]['\"”’»)\]]*\z"
-_NUMBER = r"(\S+)\s+([\p{L}\p{Sc}]?\d[\d,]*(?:\.\d+)?)"
+_NUMBER = r"(?<!\S)(\S+)\s+([\p{L}\p{Sc}]?\d[\d,]*(?:\.\d+)?)"
 _QUOTE_END = r"[.!?]\"\z"
 
 
@@ -71,14 +71,16 @@ def _without_added_lines(values: DataFrame) -> DataFrame:
 
 
 def _with_body(values: DataFrame) -> DataFrame:
-    """values with body, the text without what was put after it, and added, whether a mark of a break was among that."""
-    strip = lambda x: F.regexp_replace(F.regexp_replace(x, _ADDED, ""), _BRACKETED_NAME, "")
+    """id, source_id, field_name and body: the text without what was put after it. Written once, for all that read it."""
+    strip = lambda x: F.regexp_replace(F.when(x.endswith(")"), F.regexp_replace(x, _BRACKETED_NAME, "")).otherwise(x), _ADDED, "")
+    a, b, c = F.col("_tw_a"), F.col("_tw_b"), F.col("_tw_c")
     df = step(values, _tw_a=F.rtrim(F.when(F.col("text").contains("<"), F.regexp_replace("text", "<[^<>]+>", "")).otherwise(F.col("text"))))
-    df = step(df, _tw_b=F.rtrim(plain_ws(decode_entities(F.when(F.col("_tw_a").rlike(_UNCLOSED), F.regexp_replace("_tw_a", _UNCLOSED, "")).otherwise(F.col("_tw_a"))))))
-    df = step(df, _tw_c=strip(F.col("_tw_b")))
-    # a name in brackets may stand before or after other additions
-    df = step(df, body=F.rtrim(strip(F.col("_tw_c"))))
-    return df.drop("_tw_a", "_tw_b", "_tw_c")
+    open_mark = a.contains("<") | a.contains("&")
+    df = step(df, _tw_b=F.rtrim(plain_ws(F.when(open_mark, decode_entities(F.regexp_replace(a, _UNCLOSED, ""))).otherwise(a))))
+    # nothing was added to a text that ends with a plain sentence sign
+    df = step(df, _tw_c=F.when(~F.substring(b, -2, 2).rlike("[.!?][\"”’]?\\z") | b.endswith("..."), F.rtrim(strip(b))).otherwise(b))
+    df = step(df, body=F.when(c != b, F.rtrim(strip(F.rtrim(strip(c))))).otherwise(c))
+    return written(df.select("id", "source_id", "field_name", "body"), "bodies")
 
 
 def _is_list(body: Column) -> Column:
@@ -96,15 +98,15 @@ def features(values: DataFrame) -> DataFrame:
     """One row per value, without its text: length of the body, class of its ending, and what decides the doubtful classes."""
     abbreviation = rf"(?:^|[\s(\"“'])(?:{'|'.join(ABBREVIATIONS)})\.\z"
     body = F.col("body")
-    odd_quotes = F.length(F.regexp_replace(body, '[^"]', "")) % 2 == 1
+    odd_quotes = (F.length(body) - F.length(F.replace(body, F.lit('"'), F.lit("")))) % 2 == 1
     shape = F.regexp_replace(F.regexp_extract(body, _NUMBER + r"\.\z", 2), r"\d", "d")
     kind = (
-        F.when(body.rlike(abbreviation), "abbreviation")
+        F.when(body.endswith(".") & F.substring(body, -12, 12).rlike(abbreviation), "abbreviation")
         .when(_is_list(body), "list")
         .when(~body.rlike(_END), "open")
-        .when(body.rlike(r"\d\.\z"), "number")
+        .when(F.substring(body, -2, 2).rlike(r"\d\."), "number")
         .when(odd_quotes & ~body.rlike('"\\z'), "in_quotes")
-        .when(body.rlike(_QUOTE_END), "quote")
+        .when(F.substring(body, -2, 2).rlike(_QUOTE_END), "quote")
         .otherwise("complete")
     )
     return values.where(body.rlike(r"[\p{L}\p{N}]")).select(
