@@ -11,7 +11,11 @@ _QUERIES = {
     "truncation": ["p1_found", "p1_rates"],
     "history": ["p2_found", "p2_verdicts"],
     "lines": ["p3_found", "p3_cleaned", "p3_by_source"],
+    "neardup": ["p4_found", "p4_groups"],
     "survivor": ["p6_found", "p6_records"],
+    "encode": ["p7_ids"],
+    "mixing": ["p8_mix", "p8_shares"],
+    "splitting": ["p9_pieces", "p9_summary"],
 }
 
 
