@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.operators import timestamps
+from tidewire.operators import serving, timestamps
+from tidewire.plans.serving_sql import SQL as SERVING_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": timestamps.p5_found, "p5_formats": timestamps.p5_formats}
+    found: dict[str, Query] = {name: getattr(serving, name) for name in SERVING_SQL}
+    return found | {"p5_found": timestamps.p5_found, "p5_formats": timestamps.p5_formats}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SERVING_SQL)
