@@ -30,10 +30,15 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column | str, body) -> Column:
+    """body of x, with x computed once. A plain column is used as it is; anything else is bound as a lambda variable, so that
+    nested functions do not multiply the expression."""
+    return body(F.col(x)) if isinstance(x, str) else F.element_at(F.transform(F.array(x), body), 1)
+
+
 def plain_ws(x: Column | str) -> Column:
     """Every Unicode white-space sign as one that Java's \\s knows; texts of one byte a sign are left alone."""
-    s = c(x)
-    return F.when(F.length(s) != F.octet_length(s), F.translate(s, OTHER_WS, " " * len(OTHER_WS))).otherwise(s)
+    return let(x, lambda s: F.when(F.length(s) != F.octet_length(s), F.translate(s, OTHER_WS, " " * len(OTHER_WS))).otherwise(s))
 
 
 def _entity_value(e: Column) -> Column:
@@ -52,18 +57,21 @@ def _entity_value(e: Column) -> Column:
 
 def decode_entities(x: Column | str) -> Column:
     """HTML entities decoded in one pass: what one entity yields is never read again as part of another."""
-    s = c(x)
-    pieces = F.split(s, ENTITY, -1)
-    found = F.regexp_extract_all(s, F.lit(ENTITY), F.lit(0))
-    mixed = F.zip_with(pieces, found, lambda p, e: F.concat(p, F.coalesce(_entity_value(e), F.lit(""))))
-    return F.when(s.contains("&"), F.array_join(mixed, "")).otherwise(s)
+
+    def decoded(s: Column) -> Column:
+        pieces = F.split(s, ENTITY, -1)
+        found = F.regexp_extract_all(s, F.lit(ENTITY), F.lit(0))
+        mixed = F.zip_with(pieces, found, lambda p, e: F.concat(p, F.coalesce(_entity_value(e), F.lit(""))))
+        return F.when(s.contains("&"), F.array_join(mixed, "")).otherwise(s)
+
+    return let(x, decoded)
 
 
 def html_to_text(x: Column | str) -> Column:
     """Readable text of markup: dropped bodies, block ends as line breaks, tags out, entities decoded, blanks collapsed."""
     s = F.coalesce(c(x), F.lit(""))
     for name in ("script", "style", "noscript", "iframe", "svg"):
-        s = F.when(s.contains("<"), F.regexp_replace(s, rf"(?is)<{name}(?![A-Za-z0-9_])[^>]*>.*?</{name}\s*>", " ")).otherwise(s)
+        s = F.regexp_replace(s, rf"(?is)<{name}(?![A-Za-z0-9_])[^>]*>.*?</{name}\s*>", " ")
     for pattern, to in (
         (r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"),
         (r"(?s)<!--.*?-->", " "),
@@ -113,18 +121,25 @@ FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_tables()
 
 def fold_accents(x: Column | str) -> Column:
     """NFKD without combining marks, for Latin letters and the usual compatibility signs."""
-    s = F.translate(c(x), FOLD_FROM, FOLD_TO)
     rest = "".join(k for k, _ in FOLD_MANY)
-    long = s
-    for k, v in FOLD_MANY:
-        long = F.replace(long, F.lit(k), F.lit(v))
-    s = F.when(s.rlike(f"[{rest}]"), long).otherwise(s)
-    return F.regexp_replace(s, r"[\u0300-\u036f]", "")
+
+    def long(s: Column) -> Column:
+        out = s
+        for k, v in FOLD_MANY:
+            out = F.replace(out, F.lit(k), F.lit(v))
+        return F.when(s.rlike(f"[{rest}]"), out).otherwise(s)
+
+    plain = let(F.translate(c(x), FOLD_FROM, FOLD_TO), long)
+    return F.regexp_replace(plain, r"[\u0300-\u036f]", "")
 
 
 def tokens(x: Column | str) -> Column:
     """Lower-case ASCII word list of a text, in order, repeats kept."""
-    s = F.regexp_replace(fold_accents(F.lower(single_line(x))), "['\u2019]", "")
+    return _words(single_line(x))
+
+
+def _words(line: Column) -> Column:
+    s = F.regexp_replace(fold_accents(F.lower(line)), "['\u2019]", "")
     return F.filter(F.split(s, "[^a-z0-9]+"), lambda t: t != "")
 
 
@@ -139,34 +154,30 @@ def significant_tokens(x: Column | str) -> Column:
 
 def title_key(x: Column | str) -> Column:
     """32 hex signs that headlines of the same significant words share."""
-    sig = F.array_sort(F.array_distinct(significant_tokens(x)))
-    by_words = F.substring(F.sha2(F.array_join(F.slice(sig, 1, 12), " "), 256), 1, 32)
-    by_line = F.substring(F.sha2(F.lower(single_line(x)), 256), 1, 32)
-    return F.when(F.size(sig) > 0, by_words).otherwise(by_line)
+
+    def key(line: Column) -> Column:
+        sig = F.array_sort(F.array_distinct(significant(_words(line))))
+        basis = let(sig, lambda t: F.when(F.size(t) > 0, F.array_join(F.slice(t, 1, 12), " ")).otherwise(F.lower(line)))
+        return F.substring(F.sha2(basis, 256), 1, 32)
+
+    return let(single_line(x), key)
 
 
 def simhash_of_tokens(sig: Column) -> Column:
     """64-bit SimHash of a significant-token list as a BIGINT: unigrams count 1, neighbours joined by '_' count 2."""
-    grams = F.zip_with(F.slice(sig, 1, F.greatest(F.size(sig) - 1, F.lit(0))), F.slice(sig, 2, F.greatest(F.size(sig), F.lit(1))), lambda a, b: F.concat(a, F.lit("_"), b))
-    hashed = lambda feats: F.transform(feats, lambda f: F.conv(F.substring(F.md5(f), 1, 16), 16, -10).cast("bigint"))
-    uni, bi = hashed(sig), hashed(grams)
-    bits = F.transform(
-        F.sequence(F.lit(63), F.lit(0), F.lit(-1)),
-        lambda i: F.struct(
-            i.alias("i"),
-            (
-                F.aggregate(uni, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1))
-                + F.aggregate(bi, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 2).otherwise(-2))
-            ).alias("v"),
-        ),
+    hashed = lambda f: F.conv(F.substring(F.md5(f), 1, 16), 16, -10).cast("bigint")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    grams = F.transform(F.slice(sig, 2, F.greatest(F.size(sig), F.lit(1))), lambda t, i: F.struct(hashed(F.concat(F.get(sig, i), F.lit("_"), t)).alias("h"), F.lit(2).alias("w")))
+    features = F.concat(F.transform(sig, lambda t: F.struct(hashed(t).alias("h"), F.lit(1).alias("w"))), grams)
+    vote = lambda fs, i: F.aggregate(fs, F.lit(0), lambda s, f: s + F.when(F.getbit(f["h"], i) == 1, f["w"]).otherwise(-f["w"]))
+    return let(
+        features,
+        lambda fs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda acc, i: F.when(vote(fs, i) > 0, acc.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(acc)),
     )
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: F.when(b["v"] > 0, acc.bitwiseOR(F.call_function("shiftleft", one, b["i"]))).otherwise(acc))
 
 
 def simhash_hex(x: Column | str) -> Column:
-    sig = significant_tokens(x)
-    return F.when(F.size(sig) == 0, F.lit("0" * 16)).otherwise(F.lower(F.lpad(F.hex(simhash_of_tokens(sig)), 16, "0")))
+    return let(significant_tokens(x), lambda sig: F.lower(F.lpad(F.hex(simhash_of_tokens(sig)), 16, "0")))
 
 
 def hex_code(x: Column | str) -> Column:

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.operators import serving, timestamps
+from tidewire.operators import serving, similarity, timestamps
 from tidewire.plans.serving_sql import SQL as SERVING_SQL
+from tidewire.plans.text_sql import SQL as TEXT_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: getattr(serving, name) for name in SERVING_SQL}
+    found |= {name: getattr(similarity, f"q_{name}") for name in ("find_duplicates", "idf_weights", "cluster_edges", "cluster_assign", "format_flags", "pair_evaluation")}
     return found | {"p5_found": timestamps.p5_found, "p5_formats": timestamps.p5_formats}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SERVING_SQL)
+    return SERVING_SQL | TEXT_SQL
