@@ -94,11 +94,14 @@ def html_to_text(x: Column | str) -> Column:
 
 
 def trim_ws(x: Column | str) -> Column:
-    return F.regexp_replace(plain_ws(x), r"^\s+|\s+\z", "")
+    space = rf"[\s{OTHER_WS}]"
+    start = lambda s: F.when(F.substring(s, 1, 1).rlike(space), F.regexp_replace(s, f"^{space}+", "")).otherwise(s)
+    end = lambda s: F.when(F.substring(s, -1, 1).rlike(space), F.regexp_replace(s, rf"{space}+\z", "")).otherwise(s)
+    return let(let(x, start), end)
 
 
 def single_line(x: Column | str) -> Column:
-    return trim_ws(F.regexp_replace(html_to_text(x), r"\s+", " "))
+    return F.trim(F.regexp_replace(plain_ws(html_to_text(x)), r"\s+", " "))
 
 
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
@@ -204,7 +207,7 @@ NO_VALUE = ["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "nan", "unkn
 
 def says_nothing(x: Column | str) -> Column:
     """True for null, blank and for a text that only says there is no value."""
-    return F.coalesce(F.lower(F.regexp_replace(trim_ws(x), r"\s+", " ")).isin(NO_VALUE), F.lit(True))
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(plain_ws(x), r"\s+", " "))).isin(NO_VALUE), F.lit(True))
 
 
 def with_line_key(df, line: str, out: str):

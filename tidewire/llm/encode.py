@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, token_bytes
+from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, id_type, token_bytes
 from tidewire.session import table, written
 
 #: Signs the rolling hash sees; mean number of possible places per cut; least and greatest chunk in signs.
@@ -132,32 +132,37 @@ def encode_corpus(docs: DataFrame, key: str, text: str, name: str = TOKENIZER, f
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.int32())], names=["key", "ord", "i", "chunk", "a", "b"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name, folder)
+        import numpy as np
+
+        # ids travel as bytes: two each where the vocabulary allows it
+        enc, width = encoder(name, folder), id_type(name, folder)
         for batch in batches:
-            ids = enc.encode_ordinary_batch(batch.column(1).to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["h", "ids"])
+            ids = [np.array(x, dtype=width).tobytes() for x in enc.encode_ordinary_batch(batch.column(1).to_pylist(), num_threads=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        lengths = token_bytes(name, folder)
+        lengths, width = token_bytes(name, folder), id_type(name, folder)
         for batch in batches:
-            out = []
+            flat, offsets = [np.empty(0, dtype=np.int32)], [0]
             for parts in batch.column(1).to_pylist():
-                ids: list[int] = []
+                n = 0
                 for p in sorted(parts, key=lambda p: p["i"]):
-                    if p["b"] < 0:
-                        ids += p["ids"]
-                    else:
-                        ends = np.r_[0, np.cumsum(lengths[p["ids"]])]
-                        ids += p["ids"][int(np.searchsorted(ends, p["a"])) : int(np.searchsorted(ends, p["b"]))]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
+                    ids = np.frombuffer(p["ids"], dtype=width)
+                    if p["b"] >= 0:
+                        ends = np.r_[0, np.cumsum(lengths[ids])]
+                        ids = ids[int(np.searchsorted(ends, p["a"])) : int(np.searchsorted(ends, p["b"]))]
+                    flat.append(ids.astype(np.int32))
+                    n += len(ids)
+                offsets.append(offsets[-1] + n)
+            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["key", "ids"])
 
     chunks = written(numbered.mapInArrow(cut, f"key {kind}, ord bigint, i int, chunk string, a int, b int").withColumn("h", F.unhex(F.md5("chunk"))), "chunks")
     distinct = chunks.where("chunk <> ''").select("h", "chunk").dropDuplicates(["h"])
-    coded = distinct.mapInArrow(encode, "h binary, ids array<int>")
-    parts = chunks.drop("chunk").join(coded, "h", "left").select("key", "ord", F.struct("i", "a", "b", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).alias("p"))
+    coded = distinct.mapInArrow(encode, "h binary, ids binary")
+    parts = chunks.drop("chunk").join(coded, "h", "left").select("key", "ord", F.struct("i", "a", "b", F.coalesce("ids", F.lit(b"")).alias("ids")).alias("p"))
     return parts.groupBy("ord").agg(F.first("key").alias("key"), F.collect_list("p").alias("parts")).select("key", "parts").mapInArrow(join, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 

@@ -59,7 +59,9 @@ def word_levels(bag: DataFrame) -> dict[str, int]:
 
 
 def band_values(bag: DataFrame, levels: dict[str, int], n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, band): one row per bag and band."""
+    """(band, key, rep): one row per bag and band. Where several bags of a batch meet in a band, only the smallest (rep null)
+    goes on to the exchange by band; the others carry it as rep. So no band, however common, has more rows to exchange
+    than there are batches."""
     shared = bag.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +92,18 @@ def band_values(bag: DataFrame, levels: dict[str, int], n_bands: int = BANDS, ro
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             found = bands(signatures(elements, level[code], starts, n_bands * rows, DEPTH), rows)
             keys = np.repeat(batch.column("key").to_numpy(), found.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(found.ravel())], names=["key", "band"])
+            flat_bands = found.ravel() & ((1 << 48) - 1)  # a false meeting of bands costs one comparison
+            order = np.lexsort((keys, flat_bands))
+            keys, flat_bands = keys[order], flat_bands[order]
+            same = np.zeros(len(keys), dtype=bool)
+            same[1:] = (keys[1:] == keys[:-1]) & (flat_bands[1:] == flat_bands[:-1])
+            keys, flat_bands = keys[~same], flat_bands[~same]
+            head = np.ones(len(keys), dtype=bool)
+            head[1:] = flat_bands[1:] != flat_bands[:-1]
+            reps = keys[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(flat_bands), pa.array(keys), pa.array(reps, mask=head)], names=["band", "key", "rep"])
 
-    return bag.select("key", "words").mapInArrow(run, "key bigint, band bigint")
+    return bag.select("key", "words").mapInArrow(run, "band bigint, key bigint, rep bigint")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -103,8 +114,11 @@ def overlap(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def links(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough: a, b, overlap."""
+def links(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose bags overlap enough: a, b, overlap."""
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    bag = members.join(asked, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
     first = bag.select(F.col("key").alias("a"), F.col("words").alias("wa"))
     second = bag.select(F.col("key").alias("b"), F.col("words").alias("wb"))
     sized = F.least(F.size("wa"), F.size("wb")) >= similarity * F.greatest(F.size("wa"), F.size("wb")) - 1e-9
@@ -115,14 +129,18 @@ def links(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
 def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, distinct: bool = False, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per record: id, key, label (equal within a group), n_links (verified links of its bag to other bags)."""
     members = written(bags(records, text, distinct).distinct(), "bags")
-    bag = members.groupBy("key").agg(F.first("words").alias("words"))
-    # band values that one bag alone has link nothing and go no further
-    band = written(band_values(members, word_levels(members), n_bands, rows).distinct(), "bands")
-    shared = band.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).where("n > 1").drop("n")
-    stars = band.join(shared, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    known = written(links(stars, bag, similarity), "links")
+    band = written(band_values(members, word_levels(members), n_bands, rows), "bands")
+    met = band.where("rep is not null")
+    heads = band.where("rep is null").select("band", "key").repartition("band")
+    # bands that one batch's smallest bag alone has link nothing more; both uses read one exchange
+    shared = heads.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").drop("last")
+    far = written(heads.join(shared, "band"), "shared")
+    stars = far.select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(met.select(F.col("rep").alias("a"), F.col("key").alias("b"))).where("a <> b")
+    stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    known = written(links(stars, members, similarity), "links")
     found = components(known)
-    in_bucket = band.join(shared.select("band"), "band").join(found, band["key"] == found["node"], "left").select("band", "key", F.coalesce("label", "key").alias("label"))
+    meetings = far.select("band", "key").unionByName(met.select("band", "key")).unionByName(met.select("band", F.col("rep").alias("key"))).distinct()
+    in_bucket = meetings.join(found, meetings["key"] == found["node"], "left").select("band", "key", F.coalesce("label", "key").alias("label"))
     in_bucket = written(in_bucket, "buckets")
     split = in_bucket.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
     apart = in_bucket.join(split, "band")
@@ -136,7 +154,7 @@ def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, dis
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = links(rest, bag, similarity)
+    more = links(rest, members, similarity)
     every = written(known.unionByName(more), "all-links")
     label = components(every)
     degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("n_links"))

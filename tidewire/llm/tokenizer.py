@@ -31,3 +31,8 @@ def token_bytes(name: str = TOKENIZER, folder: str = TOKENIZER_DIR):
     for token, i in ranks.items():
         out[i] = len(token)
     return out
+
+
+def id_type(name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> str:
+    """The narrowest unsigned type that holds every id."""
+    return "<u2" if len(token_bytes(name, folder)) <= 1 << 16 else "<u4"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import trim_ws
+from tidewire.functions.text import plain_ws
 from tidewire.session import step, table, union_all
 
 # Month names, and minutes east of UTC of the zone names of mail and feed dates.
@@ -82,7 +82,7 @@ def _with_instant(df: DataFrame, raw: Column, out: str, ambiguous: str, nonexist
     second = F.coalesce(num(5), F.lit(0))
     args = ("_tw_y", "_tw_m", "_tw_d", "_tw_h", "_tw_mi", F.when(F.col("_tw_s") < 60, F.col("_tw_s")).cast("decimal(8,6)"))
     at = lambda t: F.unix_millis(F.from_utc_timestamp(t, F.col("_tw_zone")))
-    df = step(df, _tw_t=F.lower(F.regexp_replace(trim_ws(raw), r"\s+", " ")))
+    df = step(df, _tw_t=F.lower(F.trim(F.regexp_replace(plain_ws(raw), r"\s+", " "))))
     df = step(df, _tw_f=_fields(F.col("_tw_t")), _tw_r=_region(raw))
     df = step(
         df,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.operators import serving, similarity, timestamps
+from tidewire.operators import serving, similarity, textual, timestamps
 from tidewire.plans.serving_sql import SQL as SERVING_SQL
 from tidewire.plans.text_sql import SQL as TEXT_SQL
 
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: getattr(serving, name) for name in SERVING_SQL}
     found |= {name: getattr(similarity, f"q_{name}") for name in ("find_duplicates", "idf_weights", "cluster_edges", "cluster_assign", "format_flags", "pair_evaluation")}
+    found |= {name: getattr(textual, name) for name in ("html_texts", "normalized_links", "story_fingerprints", "simhashes", "headline_tokens", "slugs", "truncated", "extractive", "relative_times", "counts", "event_props", "category_lists", "image_addresses")}
     return found | {"p5_found": timestamps.p5_found, "p5_formats": timestamps.p5_formats}
 
 

@@ -58,3 +58,64 @@ m as (select cast(threshold as double) as threshold, count(*) filter (where sim
 q as (select *, coalesce(tp / nullif(tp + fp, 0), 1.0) as p, coalesce(tp / nullif(tp + fn, 0), 0.0) as r from m)
 select threshold, tp, fp, fn, tn, round(p, 9) as "precision", round(r, 9) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 9) as f1 from q""",
 }
+
+
+def _ws(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+
+
+def _html(x: str) -> str:
+    s = f"coalesce({x}, '')"
+    for name in ("script", "style", "noscript", "iframe", "svg"):
+        s = f"regexp_replace({s}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', ' ', 'g')"
+    for pattern, to in (("(?i)</(p|div|li|h[1-6]|blockquote|tr)\\s*>", "\n"), ("(?i)<br\\s*/?>", "\n"), ("<[^>]+>", " ")):
+        s = f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
+    s = f"replace(replace(replace({s}, '&#8230;', '…'), '&nbsp;', ' '), '&amp;', '&')"
+    for pattern, to in (("(?is)\\bContinue reading.{0,80}$", " "), ("(?i)\\bRead more(?: here)?[.:]?\\s*$", " "), ("\\r", ""), ("[ \\t\\x{00A0}]+", " "), ("\\s*\\n\\s*", "\n")):
+        s = f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
+    return _ws(s)
+
+
+def _short(x: str, n: int) -> str:
+    """Truncation at the last blank of the second half."""
+    t = _ws(f"coalesce({x}, '')")
+    head = f"substr({t}, 1, {n})"
+    last = f"(length({head}) - strpos(reverse({head}), ' '))"
+    cut = f"case when strpos(reverse({head}), ' ') > 0 and {last} > {n} * 0.5 then substr({head}, 1, {last}) else {head} end"
+    return f"case when length({t}) <= {n} then {t} else regexp_replace({cut}, '[\\s.,;:!?–—-]+$', '') || '…' end"
+
+
+_SLUG = f"regexp_replace(regexp_replace(array_to_string({_words('headline')}, '-'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_FEATURES = "list_concat(list_transform(w, lambda t: {'f': t, 'n': 1}), list_transform(range(1, len(w)), lambda i: {'f': w[i] || '_' || w[i + 1], 'n': 2}))"
+
+SQL |= {
+    "html_texts": f"select item_id, {_html('content')} as text from raw_feed_item",
+    "story_fingerprints": "select id, canonical_url, url_hash, title_key from story",
+    "headline_tokens": f"select id, array_to_string({_words('headline')}, ' ') as tokens, array_to_string({_significant('headline')}, ' ') as significant from story",
+    "simhashes": f"""with w as (select id, simhash, {_significant('headline')} as w from story),
+f as (select id, unnest({_FEATURES}) as x from w),
+h as (select id, cast(('0x' || substr(md5(x.f), 1, 16)) as ubigint) as h, x.n as n from f),
+v as (select id, b, sum(case when (h >> (63 - b)) & 1 = 1 then n else -n end) as s from h, range(0, 64) t(b) group by id, b),
+g as (select id, cast(sum(case when s > 0 then cast(power(2::hugeint, 63 - b) as hugeint) else 0 end) as ubigint) as code from v group by id)
+select w.id, lpad(lower(printf('%x', coalesce(code, 0))), 16, '0') as headline_simhash, bit_count(xor(coalesce(code, 0::ubigint), {_BITS.format('simhash')})) as distance from w left join g using (id)""",
+    "slugs": f"""with s as (select id, canonical_url, {_SLUG} as s from story)
+select id, case when length(s) <= 40 then s when strpos(reverse(substr(s, 1, 40)), '-') > 0 and 40 - strpos(reverse(substr(s, 1, 40)), '-') > 24 then substr(s, 1, 40 - strpos(reverse(substr(s, 1, 40)), '-')) else regexp_replace(substr(s, 1, 40), '-+$', '') end as slug,
+case when s = '' then 'story' when length(s) <= 72 then s when strpos(reverse(substr(s, 1, 72)), '-') > 0 and 72 - strpos(reverse(substr(s, 1, 72)), '-') > 43.2 then substr(s, 1, 72 - strpos(reverse(substr(s, 1, 72)), '-')) else regexp_replace(substr(s, 1, 72), '-+$', '') end || '-' || substr(sha256(canonical_url), 1, 6) as unique_slug from s""",
+    "truncated": f"select id, {_short('summary', 160)} as short, cast(greatest(1, floor(len(list_filter(string_split_regex({_ws('coalesce(summary, chr(32))')}, '\\s+'), lambda x: x <> '')) / 220.0 + 0.5)) as integer) as minutes from story",
+    "relative_times": """with d as (select id, epoch_ms(fetched_at) - 1764547200000 as d from story),
+k as (select id, d, case when d <= -31536000000 then 31536000000 when d <= -2592000000 then 2592000000 when d <= -604800000 then 604800000 when d <= -86400000 then 86400000 when d <= -3600000 then 3600000 when d <= -60000 then 60000 end as u from d),
+n as (select id, u, cast(-floor(d / u::double + 0.5) as bigint) as k from k)
+select id, case when u is null then 'just now' when k = 1 and u = 86400000 then 'yesterday' when k = 1 and u = 604800000 then 'last week' when k = 1 and u = 2592000000 then 'last month' when k = 1 and u = 31536000000 then 'last year'
+else k || case u when 60000 then ' minute' when 3600000 then ' hour' when 86400000 then ' day' when 604800000 then ' week' when 2592000000 then ' month' else ' year' end || case when k = 1 then '' else 's' end || ' ago' end as "when" from n""",
+    "counts": """with n as (select o_orderkey, floor(o_totalprice) as n from orders)
+select o_orderkey, case when n < 1000 then cast(cast(n as bigint) as varchar) when n < 10000 then printf('%.1fk', floor(n / 100 + 0.5) / 10) when n < 1000000 then printf('%.0fk', floor(n / 1000 + 0.5)) else printf('%.1fm', floor(n / 100000 + 0.5) / 10) end as price from n""",
+    "event_props": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
+    "category_lists": "select distinct id, category from (select id, lower(trim(unnest(string_split(categories, ',')))) as category from news_source) where category <> ''",
+    "image_addresses": r"""select item_id, case when regexp_matches(trim(image_url), '(?i)^https?://[^/?#]+\.[^/?#]+') and not regexp_matches(regexp_extract(trim(image_url), '(?i)^https?://[^/?#]+([^?#]*)', 1), '(?i)logo|favicon|placeholder|avatar|sprite|no[-_]?image|default[-_](?:image|thumb)|/icons?[/.\-_]|blank\.')
+then regexp_replace(trim(image_url), '^(?i:http):', 'https:') end as image from raw_feed_item""",
+    "normalized_links": r"""with p as (select item_id, trim(coalesce(link, '')) as s, regexp_extract(trim(coalesce(link, '')), '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1) as host, regexp_extract(trim(coalesce(link, '')), '(?i)^https?://[^/?#]+([^?#]*)', 1) as path, regexp_extract(trim(coalesce(link, '')), '\?([^#]*)', 1) as q from raw_feed_item),
+n as (select item_id, s, regexp_replace(lower(host), '^www\.', '') as host, regexp_replace(regexp_replace(regexp_replace(path, '(?i)/amp/?$', '/'), '/{2,}', '/', 'g'), '(.)/+$', '\1') as path,
+ list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' and not regexp_matches(x, '(?i)^(?:utm_[^=]*|fbclid|gclid|igshid|mc_[ce]id|ref|ref_src|source|amp|__twitter_impression|spm|cmpid|_ga)(?:=|$)'))) as q from p),
+u as (select item_id, s, host, case when host = '' then case when regexp_matches(s, '(?i)^[a-z][a-z0-9+.-]*:') then '' else s end else 'https://' || host || case when path = '' then '/' else path end || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as url from n)
+select item_id, url, sha256(case when url = '' then s else url end) as url_hash, host from u""",
+}
