@@ -16,12 +16,16 @@ non-positive limit splits nothing; an overlap not below the limit counts as one
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.encode import places
 from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, token_bytes
 from tidewire.session import table
 
@@ -32,84 +36,142 @@ PENALTY = (0.0, 0.25, 1e5, 1e9)
 MOST_PROFILES = 1000
 
 
-def boundary_kinds(text: str, starts):
-    """Kind (0..3, 4: inside a character) of a cut before each token; starts: first byte of each token."""
-    import re
+_SENTENCE = re.compile(r"[.!?…。！？।؟][\"'”’»)\]]*(?=\s)")
 
-    import numpy as np
 
+def _ascii_classes() -> np.ndarray:
+    """0: neither, 1: letter or digit, 2: blank, 3: sign that ends a word (apostrophe and hyphen do not)."""
+    out = np.zeros(128, dtype=np.int8)
+    for c in range(128):
+        ch = chr(c)
+        out[c] = 1 if ch.isalnum() or ch == "_" else 2 if ch.isspace() else 0 if ch in "'-" or c < 32 else 3
+    return out
+
+
+_ASCII = _ascii_classes()
+
+
+def _classes(cp: np.ndarray) -> np.ndarray:
+    out = np.ones(len(cp), dtype=np.int8)
+    low = cp < 128
+    out[low] = _ASCII[cp[low]]
+    high = np.flatnonzero(~low)
+    if len(high):
+        c = cp[high]
+        out[high[(c >= 0x2010) & (c <= 0x2BFF) | (c >= 0x3001) & (c <= 0x303F) | (c >= 0x1F000) | (c >= 0xA1) & (c <= 0xBF)]] = 3
+        out[high[(c == 0x2019)]] = 0
+        out[high[(c == 0x85) | (c == 0xA0) | (c == 0x1680) | (c >= 0x2000) & (c <= 0x200A) | (c == 0x2028) | (c == 0x2029) | (c == 0x202F) | (c == 0x205F) | (c == 0x3000)]] = 2
+    return out
+
+
+def boundary_kinds(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a cut before each token: its kind (0..3, 4: inside a character) and the character. starts: first byte of each token."""
     cp = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-    first = np.r_[0, np.cumsum(width)]
+    first = np.zeros(len(cp) + 1, dtype=np.int64)
+    np.cumsum(1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000), out=first[1:])
     char = np.searchsorted(first, starts)
-    whole = first[np.minimum(char, len(cp))] == starts
+    whole = first[char] == starts
     by_char = np.full(len(cp) + 1, 3, dtype=np.int8)
-    for m in re.finditer(r"\s+", text):
-        by_char[m.start()] = by_char[m.end()] = 2
-        by_char[m.start() : m.end()] = 2
-    for m in re.finditer(r"(?<=\w)(?=[^\w\s'’-])|(?<=[^\w\s'’-])(?=\w)", text):
-        by_char[m.start()] = np.minimum(by_char[m.start()], 2)
-    for m in re.finditer(r"[.!?…。！？।؟][\"'”’»)\]]*(?=\s)", text):
+    cls = _classes(cp)
+    word_end = (cls == 2) | np.r_[False, (cls[1:] == 3) & (cls[:-1] == 1) | (cls[1:] == 1) & (cls[:-1] == 3)]
+    by_char[:-1][word_end] = 2
+    by_char[1:][cls == 2] = 2
+    for m in _SENTENCE.finditer(text):
         by_char[m.end()] = 1
-    for m in re.finditer(r"\n+", text):
-        by_char[m.start()] = by_char[m.end()] = 0
-    return np.where(whole, by_char[np.minimum(char, len(cp))], 4), np.where(whole, char, char - 1)
+    line = cp == 10
+    by_char[:-1][line] = 0
+    by_char[1:][line] = 0
+    if len(cp) > 1:  # inside a run of line ends is no end of a paragraph
+        inner = np.flatnonzero(line[1:] & line[:-1]) + 1
+        by_char[inner] = 2
+    return np.where(whole, by_char[char], 4), np.where(whole, char, char - 1)
 
 
-def cut_positions(kinds, n: int, limit: int, overlap: int) -> list[int]:
+def cut_positions(kinds: np.ndarray, n: int, limit: int, overlap: int) -> list[int]:
     """Token positions of the best cuts (the end n last). kinds[j]: kind of a cut before token j, 4 where none is allowed if it can be helped."""
-    import numpy as np
-
     step = limit - overlap
-    usable = np.arange(1, n)
     marks = kinds[1:n]
 
-    def fill(nodes, extra):
-        """nodes, and of extra those between two nodes more than step apart (limit for the first)."""
-        edges = np.r_[0, nodes, n]
-        wide = np.diff(edges) > np.where(edges[:-1] == 0, limit, step)
-        if not wide.any():
+    def fill(nodes: np.ndarray, kind: int) -> np.ndarray:
+        """nodes, and of this kind those between two nodes further apart than a piece can reach."""
+        edges = np.concatenate(([0], nodes, [n]))
+        far = np.diff(edges) > step
+        far[0] = edges[1] > limit
+        if not far.any():
             return nodes
-        gap = np.searchsorted(edges, extra, "right") - 1
-        return np.union1d(nodes, extra[wide[np.minimum(gap, len(wide) - 1)]])
+        extra = np.flatnonzero(marks == kind) + 1
+        return np.union1d(nodes, extra[far[np.searchsorted(edges, extra, "right") - 1]])
 
-    nodes = usable[marks <= 1]
-    for more in (marks == 2, marks == 3, marks == 4):
-        nodes = fill(nodes, usable[more])
-    nodes = np.r_[nodes, n]
+    nodes = np.flatnonzero(marks <= 1) + 1
+    for kind in (2, 3, 4):
+        nodes = fill(nodes, kind)
     k = max(2, -(-(n - overlap) // step))
     target = (n - overlap) / k + overlap
-    penalty = np.r_[np.array([*PENALTY, 1e13])[kinds[nodes[:-1]]], 0.0]
-    cost = np.full(len(nodes), np.inf)
-    back = np.full(len(nodes), -1)
-    lows = np.searchsorted(nodes, nodes - step)
-    for j, e in enumerate(nodes.tolist()):
-        if e <= limit:
-            cost[j] = ((e - target) / target) ** 2
-        a = int(lows[j])
-        if a < j:
-            prior = cost[a:j] + ((e - nodes[a:j] + overlap - target) / target) ** 2
-            i = int(np.argmin(prior))
-            if prior[i] < cost[j]:
-                cost[j], back[j] = prior[i], a + i
-        cost[j] += penalty[j]
+    penalties = [*(np.array([*PENALTY, 1e13])[kinds[nodes]]).tolist(), 0.0]
+    nodes = np.append(nodes, n)
+    lows = np.searchsorted(nodes, nodes - step).tolist()
+    at, cost, back = nodes.tolist(), [], []
+    reach = overlap - target
+    wide = None
+    for j, e in enumerate(at):
+        best, where = (((e - target) / target) ** 2, -1) if e <= limit else (float("inf"), -1)
+        a = lows[j]
+        if j - a > 48:  # many positions in reach: one vector operation
+            if wide is None:
+                wide = np.empty(len(at))
+                wide[:j] = cost
+            prior = wide[a:j] + ((e + reach - nodes[a:j]) / target) ** 2
+            i = int(prior.argmin())
+            if prior[i] < best:
+                best, where = float(prior[i]), a + i
+        else:
+            for i in range(a, j):
+                d = (e + reach - at[i]) / target
+                c = cost[i] + d * d
+                if c < best:
+                    best, where = c, i
+        best += penalties[j]
+        cost.append(best)
+        back.append(where)
+        if wide is not None:
+            wide[j] = best
     out, j = [], len(nodes) - 1
     while j >= 0:
-        out.append(int(nodes[j]))
-        j = int(back[j])
+        out.append(at[j])
+        j = back[j]
     return out[::-1]
 
 
-def split_text(text: str, ids: list[int], limit: int, overlap: int, name: str = TOKENIZER, folder: str = TOKENIZER_DIR):
-    """Pieces of one text: (start token, end token, first character, end character, kind of the cut at the end)."""
-    import numpy as np
+def text_boundaries(text: str, ids: list[int], name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """boundary_kinds of an encoded text, and the tokens before which the tokenizer splits anyway; computed once for all profiles."""
+    starts = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(token_bytes(name, folder)[ids], out=starts[1:])
+    kinds, char = boundary_kinds(text, starts)
+    kinds[0] = 0
+    safe = np.append(places(np.frombuffer(text.encode("utf-32-le"), dtype="<u4")), False)
+    return kinds, char, np.flatnonzero((kinds < 4) & safe[char]).tolist()
+
+
+def alone(text: str, begin: int, end: int, char, safe: list[int], last: int, enc) -> int:
+    """Tokens of the piece encoded by itself: only its ends, up to where the tokenizer splits anyway, can differ."""
+    i, j = bisect_left(safe, begin), bisect_right(safe, end) - 1
+    if i > j:
+        return len(enc.encode_ordinary(text[int(char[begin]) : last]))
+    head, tail = safe[i], safe[j]
+    n = tail - head
+    if head > begin:
+        n += len(enc.encode_ordinary(text[int(char[begin]) : int(char[head])]))
+    if tail < end:
+        n += len(enc.encode_ordinary(text[int(char[tail]) : last]))
+    return n
 
+
+def split_text(text: str, ids: list[int], limit: int, overlap: int, bounds=None, name: str = TOKENIZER, folder: str = TOKENIZER_DIR):
+    """Pieces of one text: (start token, end token, first character, end character, kind of the cut at the end)."""
     enc = encoder(name, folder)
     overlap = min(max(overlap, 0), limit - 1)
     n = len(ids)
-    starts = np.r_[0, np.cumsum(token_bytes(name, folder)[ids])]
-    kinds, char = boundary_kinds(text, starts)
-    kinds[0] = 0
+    kinds, char, safe = bounds or text_boundaries(text, ids, name, folder)
     reach = limit
     while True:
         begin, out, over = 0, [], False
@@ -117,8 +179,7 @@ def split_text(text: str, ids: list[int], limit: int, overlap: int, name: str =
             c, d = int(char[begin]), len(text) if e == n else int(char[e])
             out.append((begin, e, c, d, "end" if e == n else KINDS[min(int(kinds[e]), 3)]))
             # a piece that begins or ends inside what the tokenizer takes as one may take more tokens by itself
-            if kinds[begin] >= 2 or (e < n and kinds[e] >= 2):
-                over = over or len(enc.encode_ordinary(text[c:d])) > limit
+            over = over or alone(text, begin, e, char, safe, d, enc) > limit
             begin = e - overlap
         if not over or reach - 1 <= overlap or reach <= limit - 8:
             return out
@@ -129,7 +190,7 @@ def split_documents(docs: DataFrame, profiles: list[tuple[str, int, int]], name:
     """docs (doc_id, text) -> pieces of the oversized ones under each profile (name, max_tokens, overlap_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name, folder)
+        enc, least = encoder(name, folder), min((p[1] for p in profiles), default=1 << 60)
         names = ["profile", "doc_id", "piece_no", "start_token", "end_token", "n_tokens", "cut", "text"]
         types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
@@ -137,9 +198,12 @@ def split_documents(docs: DataFrame, profiles: list[tuple[str, int, int]], name:
             rows: list[list] = [[] for _ in names]
             size = 0
             for doc, text, ids in zip(batch.column(0).to_pylist(), texts, enc.encode_ordinary_batch(texts, num_threads=1)):
+                if len(ids) <= least:
+                    continue
+                bounds = text_boundaries(text, ids, name, folder)
                 for profile, limit, overlap in profiles:
                     if len(ids) > limit:
-                        for i, (a, b, c, d, cut) in enumerate(split_text(text, ids, limit, overlap, name, folder)):
+                        for i, (a, b, c, d, cut) in enumerate(split_text(text, ids, limit, overlap, bounds, name, folder)):
                             for col, v in zip(rows, (profile, doc, i, a, b, b - a, cut, text[c:d])):
                                 col.append(v)
                             size += d - c
