@@ -22,7 +22,7 @@ from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, id_type, t
 from tidewire.session import table, written
 
 #: Signs the rolling hash sees; mean number of possible places per cut; least and greatest chunk in signs.
-WINDOW, SPACING, LEAST, MOST = 16, 64, 64, 4096
+WINDOW, SPACING, LEAST, MOST = 16, 128, 64, 4096
 
 
 def _classes():

@@ -31,7 +31,7 @@ SIMILARITY = 0.6
 #: Bands and places per band; a pair at weighted similarity s is missed with probability (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 48, 5
 #: Words in more than one in RARE bags weigh less; weights are levels 1..2**DEPTH.
-RARE, DEPTH = 50, 4
+RARE, DEPTH = 1000, 4
 
 
 def words(text: Column) -> Column:
@@ -40,11 +40,12 @@ def words(text: Column) -> Column:
 
 
 def bags(records: DataFrame, text: Column, distinct: bool) -> DataFrame:
-    """records (id) with key (64-bit hash of the bag: what makes two records equal) and words (sorted)."""
+    """records (id) with key and words (sorted). The key is what makes two records equal: 56 bits of the bag's hash and, in
+    the last 8, its size up to 255, which tells pairs of too different sizes without looking at the bags."""
     found = words(text)
     found = F.array_sort(F.array_distinct(found) if distinct else found)
     # a repeated word counts by its numbered copies: overlap of the numbered words is multiset overlap
-    return records.select("id", found.alias("words")).where(F.size("words") > 0).withColumn("key", F.xxhash64(F.array_join("words", " ")))
+    return records.select("id", found.alias("words")).where(F.size("words") > 0).withColumn("key", F.xxhash64(F.array_join("words", " ")).bitwiseAND(F.lit(-256).cast("bigint")).bitwiseOR(F.least(F.size("words"), F.lit(255)).cast("bigint")))
 
 
 def word_levels(bag: DataFrame) -> dict[str, int]:
@@ -116,19 +117,20 @@ def overlap(a: Column, b: Column) -> Column:
 
 def links(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of keys whose bags overlap enough: a, b, overlap."""
-    pairs = written(pairs, "pairs")
+    size_a, size_b = F.col("a").bitwiseAND(F.lit(255)), F.col("b").bitwiseAND(F.lit(255))
+    sized = (F.greatest(size_a, size_b) == 255) | (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-9)
+    pairs = written(pairs.where(sized), "pairs")
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     bag = members.join(asked, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
     first = bag.select(F.col("key").alias("a"), F.col("words").alias("wa"))
     second = bag.select(F.col("key").alias("b"), F.col("words").alias("wb"))
-    sized = F.least(F.size("wa"), F.size("wb")) >= similarity * F.greatest(F.size("wa"), F.size("wb")) - 1e-9
-    joined = pairs.join(first, "a").join(second, "b").where(sized)
+    joined = pairs.join(first, "a").join(second, "b")
     return joined.select("a", "b", overlap(F.col("wa"), F.col("wb")).alias("overlap")).where(F.col("overlap") >= similarity - 1e-12)
 
 
 def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, distinct: bool = False, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per record: id, key, label (equal within a group), n_links (verified links of its bag to other bags)."""
-    members = written(bags(records, text, distinct).distinct(), "bags")
+    members = written(bags(records, text, distinct), "bags")
     band = written(band_values(members, word_levels(members), n_bands, rows), "bands")
     met = band.where("rep is not null")
     heads = band.where("rep is null").select("band", "key").repartition("band")
@@ -159,7 +161,7 @@ def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, dis
     label = components(every)
     degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("n_links"))
     return (
-        members.select("id", "key")
+        members.select("id", "key").distinct()
         .join(label, F.col("key") == F.col("node"), "left")
         .join(degree, F.col("key") == F.col("k"), "left")
         .select("id", "key", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -111,7 +111,8 @@ def cut_positions(kinds: np.ndarray, n: int, limit: int, overlap: int) -> list[i
     nodes = np.append(nodes, n)
     lows = np.searchsorted(nodes, nodes - step).tolist()
     at, cost, back = nodes.tolist(), [], []
-    reach = overlap - target
+    reach, inverse = overlap - target, 1 / target
+    scaled = (nodes * inverse).tolist()
     wide = None
     for j, e in enumerate(at):
         best, where = (((e - target) / target) ** 2, -1) if e <= limit else (float("inf"), -1)
@@ -125,11 +126,13 @@ def cut_positions(kinds: np.ndarray, n: int, limit: int, overlap: int) -> list[i
             if prior[i] < best:
                 best, where = float(prior[i]), a + i
         else:
-            for i in range(a, j):
-                d = (e + reach - at[i]) / target
-                c = cost[i] + d * d
+            here, i = (e + reach) * inverse, a
+            for p, c in zip(scaled[a:j], cost[a:j]):
+                d = here - p
+                c += d * d
                 if c < best:
                     best, where = c, i
+                i += 1
         best += penalties[j]
         cost.append(best)
         back.append(where)
@@ -152,13 +155,17 @@ def text_boundaries(text: str, ids: list[int], name: str = TOKENIZER, folder: st
     return kinds, char, np.flatnonzero((kinds < 4) & safe[char]).tolist()
 
 
-def alone(text: str, begin: int, end: int, char, safe: list[int], last: int, enc) -> int:
-    """Tokens of the piece encoded by itself: only its ends, up to where the tokenizer splits anyway, can differ."""
+def alone(text: str, begin: int, end: int, char, safe: list[int], last: int, enc, limit: int) -> int:
+    """Tokens of the piece encoded by itself, or an upper bound of them that is within the limit: only its ends, up to where
+    the tokenizer splits anyway, can differ, and a sign never takes more than four tokens."""
     i, j = bisect_left(safe, begin), bisect_right(safe, end) - 1
     if i > j:
         return len(enc.encode_ordinary(text[int(char[begin]) : last]))
     head, tail = safe[i], safe[j]
     n = tail - head
+    most = n + 4 * (int(char[head]) - int(char[begin]) + last - int(char[tail]))
+    if most <= limit:
+        return most
     if head > begin:
         n += len(enc.encode_ordinary(text[int(char[begin]) : int(char[head])]))
     if tail < end:
@@ -179,7 +186,7 @@ def split_text(text: str, ids: list[int], limit: int, overlap: int, bounds=None,
             c, d = int(char[begin]), len(text) if e == n else int(char[e])
             out.append((begin, e, c, d, "end" if e == n else KINDS[min(int(kinds[e]), 3)]))
             # a piece that begins or ends inside what the tokenizer takes as one may take more tokens by itself
-            over = over or alone(text, begin, e, char, safe, d, enc) > limit
+            over = over or alone(text, begin, e, char, safe, d, enc, limit) > limit
             begin = e - overlap
         if not over or reach - 1 <= overlap or reach <= limit - 8:
             return out
