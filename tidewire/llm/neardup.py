@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.components import components
-from tidewire.session import table, written
+from tidewire.session import step, table, written
 
 SIMILARITY = 0.6
 #: Bands and places per band; a pair at weighted similarity s is missed with probability (1 - s**ROWS)**BANDS.
@@ -40,18 +40,20 @@ def words(text: Column) -> Column:
 
 
 def bags(records: DataFrame, text: Column, distinct: bool) -> DataFrame:
-    """records (id) with key and words (sorted). The key is what makes two records equal: 56 bits of the bag's hash and, in
-    the last 8, its size up to 255, which tells pairs of too different sizes without looking at the bags."""
+    """records (id) with key and bag (the sorted words, joined by blanks: half the bytes of an array). The key is what makes
+    two records equal: 56 bits of the bag's hash and, in the last 8, its size up to 255, which tells pairs of too different
+    sizes without looking at the bags."""
     found = words(text)
     found = F.array_sort(F.array_distinct(found) if distinct else found)
+    size = F.least(F.size(F.split("bag", " ")), F.lit(255)).cast("bigint")
     # a repeated word counts by its numbered copies: overlap of the numbered words is multiset overlap
-    return records.select("id", found.alias("words")).where(F.size("words") > 0).withColumn("key", F.xxhash64(F.array_join("words", " ")).bitwiseAND(F.lit(-256).cast("bigint")).bitwiseOR(F.least(F.size("words"), F.lit(255)).cast("bigint")))
+    return records.select("id", F.array_join(found, " ").alias("bag")).where("bag <> ''").withColumn("key", F.xxhash64("bag").bitwiseAND(F.lit(-256).cast("bigint")).bitwiseOR(size))
 
 
 def word_levels(bag: DataFrame) -> dict[str, int]:
     """Weight levels of the common words; every other word has the top level."""
     n = max(bag.count(), 1)
-    df = bag.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") * RARE > n)
+    df = bag.select(F.explode(F.array_distinct(F.split("bag", " "))).alias("w")).groupBy("w").count().where(F.col("count") * RARE > n)
     top = 1 << DEPTH
     import math
 
@@ -104,7 +106,7 @@ def band_values(bag: DataFrame, levels: dict[str, int], n_bands: int = BANDS, ro
             reps = keys[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
             yield pa.RecordBatch.from_arrays([pa.array(flat_bands), pa.array(keys), pa.array(reps, mask=head)], names=["band", "key", "rep"])
 
-    return bag.select("key", "words").mapInArrow(run, "band bigint, key bigint, rep bigint")
+    return bag.select("key", F.split("bag", " ").alias("words")).mapInArrow(run, "band bigint, key bigint, rep bigint")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -121,10 +123,10 @@ def links(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     sized = (F.greatest(size_a, size_b) == 255) | (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-9)
     pairs = written(pairs.where(sized), "pairs")
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    bag = members.join(asked, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
-    first = bag.select(F.col("key").alias("a"), F.col("words").alias("wa"))
-    second = bag.select(F.col("key").alias("b"), F.col("words").alias("wb"))
-    joined = pairs.join(first, "a").join(second, "b")
+    bag = members.join(asked, "key", "left_semi").select("key", "bag").dropDuplicates(["key"])
+    first = bag.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
+    second = bag.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
+    joined = step(pairs.join(first, "a").join(second, "b"), wa=F.split("bag_a", " "), wb=F.split("bag_b", " "))
     return joined.select("a", "b", overlap(F.col("wa"), F.col("wb")).alias("overlap")).where(F.col("overlap") >= similarity - 1e-12)
 
 
