@@ -64,9 +64,8 @@ def _classes(cp: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_kinds(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a cut before each token: its kind (0..3, 4: inside a character) and the character. starts: first byte of each token."""
-    cp = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+def boundary_kinds(text: str, cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a cut before each token: its kind (0..3, 4: inside a character) and the character. cp: the text's code points; starts: first byte of each token."""
     first = np.zeros(len(cp) + 1, dtype=np.int64)
     np.cumsum(1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000), out=first[1:])
     char = np.searchsorted(first, starts)
@@ -92,15 +91,30 @@ def cut_positions(kinds: np.ndarray, n: int, limit: int, overlap: int) -> list[i
     step = limit - overlap
     marks = kinds[1:n]
 
-    def fill(nodes: np.ndarray, kind: int) -> np.ndarray:
-        """nodes, and of this kind those between two nodes further apart than a piece can reach."""
+    def too_far(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edges = np.concatenate(([0], nodes, [n]))
         far = np.diff(edges) > step
         far[0] = edges[1] > limit
+        return edges, far
+
+    def fill(nodes: np.ndarray, kind: int) -> np.ndarray:
+        """nodes, and of this kind those between two nodes further apart than a piece can reach. In such a gap the fewest
+        possible cuts leave each of them a window; only where a window is empty all places of the gap are needed."""
+        edges, far = too_far(nodes)
         if not far.any():
             return nodes
         extra = np.flatnonzero(marks == kind) + 1
-        return np.union1d(nodes, extra[far[np.searchsorted(edges, extra, "right") - 1]])
+        gap = np.searchsorted(edges, extra, "right") - 1
+        extra, gap = extra[far[gap]], gap[far[gap]]
+        low, high = edges[gap], edges[gap + 1]
+        first = low + np.where(low == 0, limit, step)
+        slack = first - high + step * -((first - high) // step)
+        found = np.union1d(nodes, extra[(first - extra) % step <= slack])
+        after, still = too_far(found)
+        if still.any():
+            open_gaps = np.unique(np.searchsorted(edges, after[:-1][still], "right") - 1)
+            found = np.union1d(found, extra[np.isin(gap, open_gaps)])
+        return found
 
     nodes = np.flatnonzero(marks <= 1) + 1
     for kind in (2, 3, 4):
@@ -149,9 +163,10 @@ def text_boundaries(text: str, ids: list[int], name: str = TOKENIZER, folder: st
     """boundary_kinds of an encoded text, and the tokens before which the tokenizer splits anyway; computed once for all profiles."""
     starts = np.zeros(len(ids) + 1, dtype=np.int64)
     np.cumsum(token_bytes(name, folder)[ids], out=starts[1:])
-    kinds, char = boundary_kinds(text, starts)
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    kinds, char = boundary_kinds(text, cp, starts)
     kinds[0] = 0
-    safe = np.append(places(np.frombuffer(text.encode("utf-32-le"), dtype="<u4")), False)
+    safe = np.append(places(cp), False)
     return kinds, char, np.flatnonzero((kinds < 4) & safe[char]).tolist()
 
 
