@@ -63,7 +63,8 @@ def signatures(elements: np.ndarray, levels: np.ndarray, starts: np.ndarray, pla
 
     A place is identified by its earliest time, which tells the element and point apart up to chance of 2**-24."""
     pairs, inverse = np.unique(np.stack([elements.astype(np.uint64), levels.astype(np.uint64)], axis=1), axis=0, return_inverse=True)
-    points = element_points(pairs[:, 0], pairs[:, 1].astype(np.int64), places, depth)
+    block = 8192  # bounds what is held at once, however many different elements there are
+    points = np.concatenate([element_points(pairs[i : i + block, 0], pairs[i : i + block, 1].astype(np.int64), places, depth) for i in range(0, len(pairs), block)])
     out = np.empty((len(starts), places), dtype=np.uint32)
     inverse = inverse.ravel()
     ends = np.append(starts[1:], len(elements))
