@@ -1,3 +1,4 @@
+import harness
 import pytest
 
 from tidewire.llm import queries
@@ -9,3 +10,8 @@ SF = "/root/testdata/sf0.001"
 def test_runs(spark, name):
     df = queries.queries()[name](spark, SF)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    assert harness.compare(spark, harness.duck(SF), queries.queries()[name], queries.oracle_sql()[name], SF) == ""

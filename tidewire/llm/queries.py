@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.functions.text import NO_VALUE
+
 _QUERIES = {
     "truncation": ["p1_found", "p1_rates"],
     "history": ["p2_found", "p2_verdicts"],
@@ -23,5 +25,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(import_module(f"tidewire.llm.{module}"), name) for module, names in _QUERIES.items() for name in names}
 
 
+_NO_VALUE = "(" + ", ".join(f"'{x}'" for x in NO_VALUE) + ")"
+_BEST = " union all ".join(
+    f"""select cluster_id, '{f}' as field_name, arg_min(id, k) as id from (select cluster_id, s.id, row_number() over (partition by cluster_id order by coalesce(trust_tier, 99999), coalesce(importance, -99999) desc, fetched_at desc, s.id) as k
+from story s left join news_source n on n.id = s.source_id where {f} is not null and lower(trim({f})) not in {_NO_VALUE} and cluster_id in (select cluster_id from story group by 1 having count(*) > 1)) group by 1"""
+    for f in ("author", "dek", "excerpt", "image_url")
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL states plainly; the other operators have brute-force tests."""
+    return {
+        "p6_found": _BEST,
+        "p3_found": r"""with d as (select 'raw_feed_item' as tbl, source_id, item_id as rec_id, string_split(content, chr(10)) as t from raw_feed_item union all select 'story', source_id, id, string_split(summary, chr(10)) from story),
+l as (select tbl, source_id, rec_id, unnest(t) as line, generate_subscripts(t, 1) as line_no from d where t is not null and source_id is not null),
+k as (select *, trim(regexp_replace(regexp_replace(lower(replace(replace(replace(regexp_replace(line, '<[^<>]*>', '', 'g'), '&#8230;', '…'), '&nbsp;', ' '), '&amp;', '&')), '[0-9]+', '#', 'g'), '[\s\x{00A0}]+', ' ', 'g')) as k from l),
+c as (select tbl, source_id, k from k where k <> '' group by all having count(distinct rec_id) >= 10)
+select distinct tbl, rec_id, cast(line_no as integer) as line_no from k join c using (tbl, source_id, k)""",
+    }
