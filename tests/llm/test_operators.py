@@ -186,6 +186,29 @@ def test_groups_by_brute_force(spark, distinct):
     assert neardup.groups(df.limit(0).select("id", "text"), F.col("text")).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_links_by_brute_force(spark, monkeypatch, block):
+    from collections import Counter
+
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for g in range(12):
+        base = rng.sample(vocabulary, 24)
+        for k in range(8):
+            words = [*base, "the", "the"]
+            for at in rng.sample(range(24), rng.randrange(6)):
+                words[at] = rng.choice(vocabulary)
+            texts[f"g{g}-{k}"] = " ".join(words)
+        texts[f"g{g}-copy"] = texts[f"g{g}-0"]
+    got = neardup.groups(spark.createDataFrame(list(texts.items()), "id string, text string"), F.col("text")).collect()
+    bags = {tuple(sorted(t.split())): r.label for r in got for t in [texts[r.id]]}
+    near = lambda a, b: sum((Counter(a) & Counter(b)).values()) >= 0.6 * sum((Counter(a) | Counter(b)).values()) - 1e-12
+    want = {a: sum(a != b and bags[a] == bags[b] and near(a, b) for b in bags) for a in bags}
+    assert {r.id: r.n_links for r in got} == {i: want[tuple(sorted(t.split()))] for i, t in texts.items()} and max(want.values()) > 2
+
+
 def test_star_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300 + i) for i in range(1, 200)]

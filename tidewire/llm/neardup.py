@@ -12,6 +12,10 @@ Inside a band bucket not all pairs are compared at once: first every bag with th
 all of a big bucket in one component; then only bags of one bucket that are still in different components. So a bucket that
 holds a third of all rows costs about its size, and no candidate link that could join two components is left out.
 
+That finds the groups; a bag's links are counted when the groups are known. A link lies within a group, so every pair of
+bags of a group is checked, whether they met in a band or not: the count depends on the groups alone. A big group is cut
+into blocks, and a task takes the pairs of two blocks; the work grows with the square of a group's different bags.
+
 Defined results: null texts count as empty; records without words are linked to nothing; repeated ids are one record for
 each different text; empty tables give empty results.
 """
@@ -32,6 +36,8 @@ SIMILARITY = 0.6
 BANDS, ROWS = 48, 5
 #: Words in more than one in RARE bags weigh less; weights are levels 1..2**DEPTH.
 RARE, DEPTH = 1000, 4
+#: Bags in a block of a group whose links are counted.
+BLOCK = 1000
 
 
 def words(text: Column) -> Column:
@@ -117,21 +123,54 @@ def overlap(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def repeats() -> Column:
+    """How many of a bag's words are second or later copies."""
+    found = F.split("bag", " ")
+    return F.size(found) - F.size(F.array_distinct(found))
+
+
+def overlapping(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose bags bag_a and bag_b (with repeats_a and repeats_b) overlap enough, with overlap. Common words plus the
+    fewer repeats are at least the multiset intersection; copies are numbered only in pairs that this bound lets through."""
+    pairs = step(pairs, wa=F.split("bag_a", " "), wb=F.split("bag_b", " "))
+    pairs = step(pairs, most=F.size(F.array_intersect("wa", "wb")) + F.least("repeats_a", "repeats_b"), both=F.size("wa") + F.size("wb"))
+    pairs = pairs.where(F.col("most") >= similarity * (F.col("both") - F.col("most")) - 1e-9)
+    return step(pairs, overlap=overlap(F.col("wa"), F.col("wb"))).where(F.col("overlap") >= similarity - 1e-12)
+
+
+def sized(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the bags' sizes, as the keys tell them, allow the similarity."""
+    size_a, size_b = a.bitwiseAND(F.lit(255)), b.bitwiseAND(F.lit(255))
+    return (F.greatest(size_a, size_b) == 255) | (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-9)
+
+
 def links(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of keys whose bags overlap enough: a, b, overlap."""
-    size_a, size_b = F.col("a").bitwiseAND(F.lit(255)), F.col("b").bitwiseAND(F.lit(255))
-    sized = (F.greatest(size_a, size_b) == 255) | (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-9)
-    pairs = written(pairs.where(sized), "pairs")
+    pairs = written(pairs.where(sized(F.col("a"), F.col("b"), similarity)), "pairs")
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     bag = members.join(asked, "key", "left_semi").select("key", "bag").dropDuplicates(["key"])
-    first = bag.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
-    second = bag.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
-    joined = step(pairs.join(first, "a").join(second, "b"), wa=F.split("bag_a", " "), wb=F.split("bag_b", " "))
-    return joined.select("a", "b", overlap(F.col("wa"), F.col("wb")).alias("overlap")).where(F.col("overlap") >= similarity - 1e-12)
-
-
-def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, distinct: bool = False, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per record: id, key, label (equal within a group), n_links (verified links of its bag to other bags)."""
+    first = bag.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"), repeats().alias("repeats_a"))
+    second = bag.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"), repeats().alias("repeats_b"))
+    return overlapping(pairs.join(first, "a").join(second, "b"), similarity).select("a", "b", "overlap")
+
+
+def degrees(label: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """label (node, label) -> k, n_links: of each key, how many other bags of its group overlap enough."""
+    bag = members.select("key", "bag").dropDuplicates(["key"]).join(label, F.col("key") == F.col("node")).select("label", "key", "bag")
+    bag = written(bag, "grouped")
+    blocks = bag.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    bag = bag.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    # a bag meets the blocks from its own on as the first, and those up to its own as the second
+    first = bag.select("label", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("bag").alias("bag_a"), repeats().alias("repeats_a"))
+    second = bag.select("label", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("bag").alias("bag_b"), repeats().alias("repeats_b"))
+    once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
+    pairs = first.join(second, ["label", "i", "j"]).where(once & sized(F.col("a"), F.col("b"), similarity))
+    return overlapping(pairs, similarity).select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, distinct: bool = False, n_bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
+    """One row per record: id, key, label (equal within a group) and, if counted, n_links (all links of its bag to other bags
+    of the group)."""
     members = written(bags(records, text, distinct), "bags")
     band = written(band_values(members, word_levels(members), n_bands, rows), "bands")
     met = band.where("rep is not null")
@@ -161,29 +200,26 @@ def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, dis
     more = links(rest, members, similarity)
     every = written(known.unionByName(more), "all-links")
     label = components(every)
-    degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("n_links"))
-    return (
-        members.select("id", "key").distinct()
-        .join(label, F.col("key") == F.col("node"), "left")
-        .join(degree, F.col("key") == F.col("k"), "left")
-        .select("id", "key", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    found = members.select("id", "key").distinct().join(label, F.col("key") == F.col("node"), "left").select("id", "key", F.coalesce("label", "key").alias("label"))
+    if not counted:
+        return found
+    return found.join(degrees(label, members, similarity), F.col("key") == F.col("k"), "left").select("id", "key", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _stories(spark: SparkSession, sf_dir: str, distinct: bool) -> DataFrame:
+def _stories(spark: SparkSession, sf_dir: str, distinct: bool, counted: bool) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("summary", F.lit("")))
-    return groups(table(spark, sf_dir, "story").select("id", "headline", "summary"), text, distinct=distinct)
+    return groups(table(spark, sf_dir, "story").select("id", "headline", "summary"), text, distinct=distinct, counted=counted)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of stories of one group (the result's fixed form), word sets as TESTDATA.md has them."""
-    found = written(_stories(spark, sf_dir, distinct=True), "groups")
+    found = written(_stories(spark, sf_dir, distinct=True, counted=False), "groups")
     a, b = found.select(F.col("id").alias("id_a"), "label"), found.select(F.col("id").alias("id_b"), F.col("label").alias("label_b"))
     return a.join(b, (F.col("label") == F.col("label_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b").distinct()
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per story, by multiset overlap of its words: its group (the group's smallest id), the group's size, its links."""
-    found = _stories(spark, sf_dir, distinct=False)
+    found = _stories(spark, sf_dir, distinct=False, counted=True)
     heads = found.groupBy("label").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n_in_group"))
     return found.join(heads, "label").select("id", "group_id", "n_in_group", "n_links")
