@@ -6,8 +6,10 @@ first, and so on up to its cap. Sorting all uses by virtual time makes every beg
 their shares; the order is cut where the total budget is reached. A source that runs out leaves its place to the others.
 
 Running totals, both per source and over the whole order, come from range-sorted partitions and their offsets, never from
-one task per source. Uses that begin after the fluid model's end (all sources drained at their shares, in closed form from
-the sources' totals) cannot lie within the budget and are not sorted.
+one task per source. Uses that cannot lie within the budget are not sorted. Where the fluid model (all sources drained at
+their shares, in closed form from the sources' totals) stands at some virtual time, the uses finished by then hold all its
+tokens but, of each source, less than one document, the one half served. So by the time at which the model has given out
+the budget and each source's largest document besides, the finished uses fill the budget, and all later ones lie beyond it.
 
 Defined results: documents without tokens, and sources with a null or non-positive share or cap, are not used; a null
 total_ratio counts as 1; a document named twice in the table counts as two documents; a source named twice in a mix counts
@@ -36,7 +38,7 @@ def queued(docs: DataFrame) -> DataFrame:
 
 def horizon(targets: DataFrame, totals: DataFrame) -> DataFrame:
     """Per mix and source: share, cap, total (tokens of the source), and per mix budget and until, the virtual time at which
-    the fluid model has given out the budget (null if it never does)."""
+    the fluid model has given out the budget and the largest document of each source (null if it never does)."""
     corpus = totals.agg(F.sum("total").alias("corpus"))
     clean = (
         targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0) & F.col("mix_name").isNotNull())
@@ -50,8 +52,8 @@ def horizon(targets: DataFrame, totals: DataFrame) -> DataFrame:
     order = mix.orderBy("dry_at", "source")
     dry = F.coalesce(F.sum(F.col("cap") * F.col("total")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     flowing = F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing))
-    end = (F.col("budget") - dry) / flowing
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    end = (F.col("budget") + F.sum("largest").over(whole) - dry) / flowing
     found = drained.withColumn("end", end).withColumn("until", F.first(F.when(F.col("end") <= F.col("dry_at"), F.col("end")), ignorenulls=True).over(whole))
     return found.select("mix_name", "source", "share", "cap", "total", "budget", "until")
 
@@ -59,12 +61,11 @@ def horizon(targets: DataFrame, totals: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Uses of documents within the budgets: mix_name, source, doc_id, n_tokens, use (from 0), finish."""
     queue = written(queued(docs), "queued")
-    totals = docs.groupBy("source").agg(F.sum("n_tokens").alias("total"))
+    totals = docs.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("largest"))
     plan = horizon(targets, totals)
     uses = queue.join(plan, "source").select("*", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)).alias("use"))
     finish = (F.col("use") * F.col("total") + F.col("cum")) / F.col("share")
-    start = (F.col("use") * F.col("total") + F.col("cum") - F.col("n_tokens")) / F.col("share")
-    uses = uses.withColumn("finish", finish).where(F.col("until").isNull() | (start <= F.col("until") * (1 + 1e-9)))
+    uses = uses.withColumn("finish", finish).where(F.col("until").isNull() | (finish <= F.col("until") * (1 + 1e-9)))
     order = ["finish", "source", "place", "doc_id", "copy", "use"]
     ranked = prefix_sum(uses.select("mix_name", *order, "n_tokens", "budget"), ["mix_name"], order, "n_tokens", "given", "uses")
     return ranked.where(F.col("given") <= F.col("budget")).select("mix_name", "source", "doc_id", "n_tokens", "use", "finish")
