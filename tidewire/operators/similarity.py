@@ -180,6 +180,32 @@ def cluster_assign(stories: DataFrame, hours: int = BAND_HOURS) -> DataFrame:
     return stories.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def rates(m: DataFrame) -> DataFrame:
+    """m (tp, fp, fn) with precision (1 where nothing is found), recall and F1."""
+    p, r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    return m.withColumns({"precision": F.round(p, 9), "recall": F.round(r, 9), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 9)})
+
+
+def evaluation(stories: DataFrame, hours: int = BAND_HOURS) -> DataFrame:
+    """The cluster rule's scores against stored clusters (cluster_id), over all pairs of different ids: threshold, tp, fp, fn,
+    tn, precision, recall, f1. Found are the cluster_edges of at least the threshold; pairs they leave out (vetoed, outside
+    the band, too unlike) are only counted, from the sizes of the clusters and of the table. A repeated id has its smallest
+    cluster_id; rows without one are in no cluster."""
+    of = written(stories.where("id is not null").groupBy("id").agg(F.min("cluster_id").alias("c")), "clusters")
+    pairs = lambda: F.expr("cast(n * (n - 1) div 2 as bigint)")
+    sizes = of.where("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    together = sizes.agg(F.coalesce(F.sum(pairs()), F.lit(0)).alias("together"))
+    every = together.join(F.broadcast(of.agg(F.count(F.lit(1)).alias("n")).select(pairs().alias("every"))))  # one row each
+    clusters = lambda i, c: of.select(F.col("id").alias(i), F.col("c").alias(c))
+    edges = cluster_edges(stories.select("id", "headline", "fetched_at"), hours).where("later_id <> earlier_id")
+    edges = edges.join(clusters("later_id", "c1"), "later_id").join(clusters("earlier_id", "c2"), "earlier_id")
+    at = F.explode(F.array(*[F.lit(t / 10) for t in range(1, 9)])).alias("threshold")
+    hits = edges.select("score", F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)).alias("same"), at).where("score >= threshold")
+    hits = hits.groupBy("threshold").agg(F.count_if("same").alias("tp"), F.count_if(~F.col("same")).alias("fp"))
+    m = every.select("together", "every", at).join(hits, "threshold", "left").fillna(0, ["tp", "fp"])
+    return rates(m.select("threshold", "tp", "fp", (F.col("together") - F.col("tp")).alias("fn"), (F.col("every") - F.col("together") - F.col("fp")).alias("tn")))
+
+
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "story").select("id", "headline", "fetched_at")
 
@@ -210,7 +236,7 @@ def q_format_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pair_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word overlap of headlines against stored clusters, over pairs of one source and day: true and false positives and
-    negatives, precision, recall and F1 at eight thresholds."""
+    negatives, precision, recall and F1 at eight thresholds. cluster_evaluation is the one of the cluster rule, over all pairs."""
     s = _stories(spark, sf_dir).join(table(spark, sf_dir, "story").select("id", "cluster_id", "source_id"), "id")
     s = s.select("id", "cluster_id", "source_id", F.floor(F.unix_millis("fetched_at") / 86_400_000).alias("day"), F.array_distinct(significant_tokens("headline")).alias("w"))
     s = written(s, "evaluation")
@@ -224,5 +250,8 @@ def q_pair_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.col("sim") >= F.col("threshold")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     m = at.groupBy("threshold").agg(total(hit & F.col("same")).alias("tp"), total(hit & ~F.col("same")).alias("fp"), total(~hit & F.col("same")).alias("fn"), total(~hit & ~F.col("same")).alias("tn"))
-    p, r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    return m.withColumns({"precision": F.round(p, 9), "recall": F.round(r, 9), "f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 9)})
+    return rates(m)
+
+
+def q_cluster_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation(table(spark, sf_dir, "story").select("id", "headline", "fetched_at", "cluster_id"))

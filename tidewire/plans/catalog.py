@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: getattr(serving, name) for name in SERVING_SQL}
-    found |= {name: getattr(similarity, f"q_{name}") for name in ("find_duplicates", "idf_weights", "cluster_edges", "cluster_assign", "format_flags", "pair_evaluation")}
+    found |= {name: getattr(similarity, f"q_{name}") for name in ("find_duplicates", "idf_weights", "cluster_edges", "cluster_assign", "format_flags", "pair_evaluation", "cluster_evaluation")}
     found |= {name: getattr(textual, name) for name in ("html_texts", "normalized_links", "story_fingerprints", "simhashes", "headline_tokens", "slugs", "truncated", "extractive", "relative_times", "counts", "event_props", "category_lists", "image_addresses")}
     found |= {name: getattr(editorial, name) for name in ("classified_stories", "scored_stories", "grounding")}
     found |= {"feed_round_trip": feeds.feed_round_trip}
