@@ -293,45 +293,71 @@ def test_mixing_by_brute_force(spark):
 
 
 # --- p9 -------------------------------------------------------------------------------------------------------------
-def test_cuts_are_the_best_by_exhaustive_search():
+def search_all(kinds, n, step, overlap, target):
+    """Least cost over all cuts, from the end back."""
+    best = {n: 0.0}
+    for at in range(n - 1, overlap - 1, -1):
+        own = lambda e: ((e - at + overlap - target) / target) ** 2 + (splitting.PENALTY[kinds[e]] if e < n else 0)  # noqa: B023, E731
+        best[at] = min(own(e) + best[e] for e in range(at + 1, min(n, at + step) + 1))
+    return best[overlap]
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_cuts_are_the_best_by_exhaustive_search(sparse):
     rng = random.Random(4)
-    for _ in range(60):
-        n, limit, overlap = rng.randrange(12, 16), rng.randrange(5, 8), rng.randrange(0, 3)
-        kinds = np.array([rng.choice([0, 1, 2, 3]) for _ in range(n + 1)])
-        step = limit - overlap
+    tasks = []
+    for _ in range(400):
+        n, limit = rng.randrange(12, 140 if sparse else 40), rng.randrange(5, 13)
+        overlap = rng.randrange(0, min(4, limit))
+        weights = [1, 1, rng.choice([3, 10]), rng.choice([5, 30]), rng.choice([0, 10])] if sparse else [1, 1, 1, 1, 0]
+        tasks.append((n, limit - overlap, overlap, rng.choices([0, 1, 2, 3, 4], weights, k=n + 1)))
+    flat, start, end = [], [], []
+    for n, _, overlap, kinds in tasks:
+        start.append(len(flat) + overlap)
+        end.append(len(flat) + n)
+        flat += [9] * overlap + [0] + kinds[overlap + 1 : n] + [0]
+    cuts, owner = splitting.best_cuts(np.array(flat, dtype=np.int8), np.array(start), np.array(end), np.array([t[1] for t in tasks]), np.array([t[2] for t in tasks]))
+    for i, (n, step, overlap, kinds) in enumerate(tasks):
+        mine = [int(c) - start[i] + overlap for c in cuts[owner == i]]
         k = max(2, -(-(n - overlap) // step))
         target = (n - overlap) / k + overlap
+        sizes = [e - a + overlap for a, e in zip([overlap, *mine], mine)]
+        cost = sum(((s - target) / target) ** 2 for s in sizes) + sum(splitting.PENALTY[kinds[e]] for e in mine[:-1])
+        assert mine[-1] == n and max(sizes) <= step + overlap and cost == pytest.approx(search_all(kinds, n, step, overlap, target), rel=1e-9)
 
-        def search(at, first):
-            best = float("inf"), []
-            for e in range(at + 1, min(n, at + (limit if first else step)) + 1):
-                size = e - at + (0 if first else overlap)
-                own = ((size - target) / target) ** 2 + (splitting.PENALTY[kinds[e]] if e < n else 0)
-                rest = (0.0, []) if e == n else search(e, False)
-                if own + rest[0] < best[0] - 1e-9:
-                    best = own + rest[0], [e, *rest[1]]
-            return best
 
-        cuts = splitting.cut_positions(kinds, n, limit, overlap)
-        sizes = [e - (a - overlap if a else 0) for a, e in zip([0, *cuts], cuts)]
-        cost = sum(((s - target) / target) ** 2 for s in sizes) + sum(splitting.PENALTY[kinds[e]] for e in cuts[:-1])
-        assert max(sizes) <= limit and cuts[-1] == n and cost == pytest.approx(search(0, True)[0])
+PROFILE = "profile string, max_tokens int, overlap_tokens int"
 
 
-def test_pieces(spark):
+def test_pieces(spark, monkeypatch):
     enc = encoder()
-    texts = ["One two three. " * 80, "para one\n\n" * 90, "漢字かな交じり" * 300, "x" * 3000, "🎉" * 400, "short", "", None, "a|b" * 500]
-    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id bigint, text string, profile string")
-    profiles = [("tight", 16, 4), ("none", 40, 0), ("odd", 8, 20)]
-    got = splitting.split_documents(df, profiles).collect()
+    texts = ["One two three. " * 80, "para one\n\n" * 90, "漢字かな交じり" * 300, "x" * 3000, "🎉" * 400, "short", "", None, "a|b" * 500, "é" * 60 + " ab" * 90, "don't 'll 12a3 _x_ " * 200, "\n" * 700, "long wordy text " * 20_000]
+    df = spark.createDataFrame([(i, t, "p", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, profile string, max_tokens int")
+    profiles = [("tight", 16, 4), ("none", 40, 0), ("odd", 8, 20), ("null", 30, None), ("negative", 30, -5), (None, 500, 3), ("one", 1, 0), ("off", 0, 0), ("unset", None, 1)]
+    monkeypatch.setattr(splitting, "PROFILES", 4)
+    got = splitting.split_documents(df, spark.createDataFrame(profiles, PROFILE)).collect()
     for profile, limit, overlap in profiles:
-        overlap = min(overlap, limit - 1)
+        overlap = min(max(overlap or 0, 0), (limit or 1) - 1)
         for i, t in enumerate(texts):
             ids = enc.encode_ordinary(t or "")
             mine = sorted((r for r in got if r.profile == profile and r.doc_id == i), key=lambda r: r.piece_no)
-            assert bool(mine) == (len(ids) > limit)
+            assert bool(mine) == (bool(limit) and len(ids) > limit)
             if mine:
+                assert [r.piece_no for r in mine] == list(range(len(mine)))
                 assert mine[0].start_token == 0 and mine[-1].end_token == len(ids) and max(r.n_tokens for r in mine) <= limit
-                assert all(b.start_token == a.end_token - overlap for a, b in zip(mine, mine[1:]))
+                assert all(b.start_token == a.end_token - overlap and b.end_token > a.end_token for a, b in zip(mine, mine[1:]))
+                assert all(r.over == (len(enc.encode_ordinary(r.text)) > limit) for r in mine)
+                if "é" not in t and "🎉" not in t and "漢" not in t:
+                    assert all(r.text == enc.decode(ids[r.start_token : r.end_token]) for r in mine)
+            if profile not in ("odd", "one"):
+                assert not any(r.over for r in mine)
     assert all(r.cut in ("sentence", "end") for r in got if r.doc_id == 0 and r.profile == "none")
-    assert splitting.split_documents(df.limit(0), profiles).count() == 0
+    assert splitting.split_documents(df.limit(0), spark.createDataFrame(profiles, PROFILE)).count() == 0
+    assert splitting.split_documents(df, spark.createDataFrame([], PROFILE)).count() == 0
+
+
+def test_repeated_profiles_and_documents(spark):
+    df = spark.createDataFrame([(1, "One two three. " * 30)] * 2, "doc_id bigint, text string")
+    profiles = spark.createDataFrame([("p", 16, 4)] * 3, PROFILE)
+    rows = [tuple(r) for r in splitting.split_documents(df, profiles).collect()]
+    assert len(rows) == 6 * len(set(rows))

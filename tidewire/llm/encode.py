@@ -13,6 +13,7 @@ Defined results: null and empty texts have an empty list; every row of the input
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,15 @@ from tidewire.session import table, written
 WINDOW, SPACING, LEAST, MOST = 16, 128, 64, 4096
 
 
+@lru_cache(maxsize=1)
 def _classes():
+    """Class of every code point: 1 letter, 2 digit, 3 punctuation, 4 blank or line end, 5 other signs, 6 apostrophe, 0 what never is beside a cut."""
     import numpy as np
 
-    out = np.zeros(128, dtype=np.uint8)  # 0: control signs and the like, never beside a cut
+    out = np.full(0x110000, 5, dtype=np.uint8)
+    out[:0xC0] = 0
+    out[0x1680] = out[0x3000] = 0
+    out[0x2000:0x2070] = 0
     for c in range(33, 127):
         ch = chr(c)
         out[c] = 1 if ch.isalpha() else 2 if ch.isdigit() else 6 if ch == "'" else 3
@@ -36,21 +42,17 @@ def _classes():
     return out
 
 
-_CLASS = _classes()
-
-
 def places(cp):
     """Where the tokenizer's splitting cannot span: a boolean per position (the cut is before that sign)."""
     import numpy as np
 
-    cls = np.where(cp < 128, _CLASS[np.minimum(cp, 127)], np.where((cp >= 0xC0) & ~((cp == 0x1680) | ((cp >= 0x2000) & (cp <= 0x206F)) | (cp == 0x3000)), 5, 0))
+    cls = _classes()[cp]
     out = np.zeros(len(cp), dtype=bool)
-    if len(cp) > 1:
-        left, here = cls[:-1], cls[1:]
-        out[1:] = (left != here) & (left >= 1) & (left <= 3) & (here >= 1) & (here <= 3)
-    if len(cp) > 2:
-        solid = (cls != 0) & (cls != 4)
-        out[1:-1] |= (cls[1:-1] == 4) & solid[:-2] & solid[2:]
+    plain = (cls - np.uint8(1)) < 3  # 1 to 3
+    blank = cls == 4
+    solid = (cls > 0) & ~blank
+    out[1:] = (cls[:-1] != cls[1:]) & plain[:-1] & plain[1:]
+    out[1:-1] |= blank[1:-1] & solid[:-2] & solid[2:]
     return out
 
 
