@@ -81,25 +81,43 @@ def brute_history(old, new):
     return found
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_history_is_row_by_row(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed, few, agree", [(1, 20_000, 1), (2, 0, 1), (3, 5, 2)])
+def test_history_is_row_by_row(spark, tmp_path, monkeypatch, seed, few, agree):
+    monkeypatch.setattr(history, "FEW", few)
     rng = random.Random(seed)
     old, new = story_rows(rng, 40, "o"), story_rows(rng, 90, "n")
     want = brute_history(old, new)
     batch = spark.createDataFrame([(*r, i, i // 30, 0) for i, r in enumerate(new)], ROW + ", arrival_no bigint, batch_no int, slot int")
     stored = history.prepared(spark.createDataFrame(old, ROW))
-    whole = history.HistoryIndex(spark, f"{tmp_path}/w")
+    whole = history.HistoryIndex(spark, f"{tmp_path}/w", agree=agree)
     whole.append(stored)
     assert {r.id for r in whole.ingest(batch).where("is_duplicate").collect()} == want
-    # batch by batch gives the same as all at once
-    steps = history.HistoryIndex(spark, f"{tmp_path}/s")
-    steps.append(stored)
+    # batch by batch gives the same as all at once; a batch that failed before its marker was written counts once
+    steps = history.HistoryIndex(spark, f"{tmp_path}/s", agree=agree)
+    steps.append(stored, "old")
     got = set()
     for b in range(3):
-        got |= {r.id for r in steps.ingest(batch.where(F.col("batch_no") == b)).where("is_duplicate").collect()}
+        part = batch.where(F.col("batch_no") == b)
+        if b == 1:
+            mark = steps._mark
+            monkeypatch.setattr(steps, "_mark", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                steps.ingest(part, "b1")
+            monkeypatch.setattr(steps, "_mark", mark)
+        got |= {r.id for r in steps.ingest(part, f"b{b}").where("is_duplicate").collect()}
+        if b == 1:
+            rows = steps.cells().count()
+            steps.compact()
+            assert len(steps._marked()) == 1 and 0 < steps.cells().count() <= rows
     assert got == want
 
 
+def test_batches_follow_the_order_of_arrival(spark):
+    rows = [("a", 2, 30), ("b", 1, 10), ("c", 1, 19), ("d", 3, 35), ("e", 2, 36), ("f", None, 50), ("g", 1, None)]
+    got = history.in_batches(spark.createDataFrame(rows, "id string, batch_no int, arrival_no bigint"))
+    assert got == [(10, 19), (30, 36), (50, 50), (history._LAST, history._LAST)]
+
+
 def test_history_copies_and_empty(spark, tmp_path):
     index = history.HistoryIndex(spark, f"{tmp_path}/i")
     index.append(history.prepared(spark.createDataFrame([], ROW)))
