@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import encode, history, lines, mixing, neardup, splitting, survivor, truncation
+from tidewire.llm import bagminhash, encode, history, lines, mixing, neardup, splitting, survivor, truncation
 from tidewire.llm.bagminhash import signatures
 from tidewire.llm.components import components
 from tidewire.llm.tokenizer import encoder
@@ -22,7 +22,7 @@ STORY = "id string, source_id string, summary string, excerpt string, text int,
 
 def cut(spark, rows):
     df = spark.createDataFrame([(f"i{n}", s, a, b, 1, "x") for n, (s, a, b) in enumerate(rows)], STORY)
-    return {(r.id, r.field_name): r.log_odds > 0 for r in truncation.posteriors(df).collect()}
+    return {(r.id, r.field_name): r.is_case for r in truncation.posteriors(df).collect()}
 
 
 def test_truncation_cases(spark):
@@ -45,6 +45,22 @@ def test_truncation_numbers_by_context(spark):
     assert got["i40", "summary"] and not got["i41", "summary"]
 
 
+def test_truncation_by_length(spark):
+    """The same list of headlines, with the same ending, is a case at its source's limit and none elsewhere."""
+    rng = random.Random(11)
+    words = "panel network council harbour quiet bridge report officials market winter garden station".split()
+    prose = lambda n: " ".join([" ".join(rng.choice(words) for _ in range(rng.randrange(5, 12))).capitalize() + "." for _ in range(n)])
+    made = lambda: "Also today: " + "; ".join(" ".join(rng.choice(words).capitalize() for _ in range(4)) for _ in range(rng.randrange(3, 9)))
+    same = made() + "; The Panel Heard Nothing"
+    at = len(same)
+    rows = [("limited", prose(60)[:at].rstrip() if (i % 4) else prose(3), None) for i in range(240)] + [("free", prose(rng.randrange(1, 5)), None) for _ in range(240)]
+    rows += [(s, x, None) for s in ("limited", "free") for x in [made() for _ in range(40)] if abs(len(x) - at) > 2] + [("limited", same, None), ("free", same, None)]
+    got = cut(spark, rows)
+    n = len(rows)
+    assert got[f"i{n - 2}", "summary"] and not got[f"i{n - 1}", "summary"]
+    assert not any(got[f"i{k}", "summary"] for k in range(480, n - 2))
+
+
 def test_truncation_empty(spark):
     assert truncation.posteriors(spark.createDataFrame([], STORY)).count() == 0
 
@@ -131,24 +147,68 @@ def test_history_copies_and_empty(spark, tmp_path):
 
 
 # --- p3 -------------------------------------------------------------------------------------------------------------
-def test_lines_in_ten_documents(spark):
+def test_lines_in_ten_documents(spark, monkeypatch):
     docs = [("t", "s", f"d{i}", f"Body {chr(97 + i)}\n<p>Sign&nbsp;up at {i}</p>\r\n\n  SIGN  up at 7 \nonly nine" if i < 9 else f"Body {chr(97 + i)}\nsign up at 1", i) for i in range(12)]
     docs += [("t", "other", f"e{i}", "sign up at 3", 0) for i in range(9)] + [("t", None, "f", "sign up at 3", 0), ("t", "s", "g", None, 0), ("t", "s", "h", "", 0), ("t", "s", "long", "x" * 200_000 + "\nsign up at 5", 0)]
     df = spark.createDataFrame(docs, "tbl string, source_id string, rec_id string, text string, no int")
-    got = {(r.rec_id, r.no) for r in lines.repeated_places(df).collect()}
-    assert got == {(f"d{i}", n) for i in range(9) for n in (2, 4)} | {(f"d{i}", 2) for i in range(9, 12)} | {("long", 2)}
+    want = {(f"d{i}", n) for i in range(9) for n in (2, 4)} | {(f"d{i}", 2) for i in range(9, 12)} | {("long", 2)}
+    for sparse in (1024, 6, 0):  # arrays, runs and plain bitmaps hold the same documents
+        monkeypatch.setattr(lines, "SPARSE", sparse)
+        got = {(r.rec_id, r.no) for r in lines.repeated_places(df).collect()}
+        assert got == want
+    kinds = lines.line_bitmaps(lines.line_table(df))
+    assert kinds.where("bits is not null").count() > 0 and kinds.where("few is not null and runs is not null").count() == 0
     assert lines.repeated_places(df.limit(0)).count() == 0
 
 
+def test_lines_count_documents_and_leave_others_alone(spark):
+    # one document with a line twice is one document; rows that share an id lose only their own lines
+    docs = [("t", "s", f"d{i}", "Sign up\nSign up" if i else f"Sign up\nown {i}") for i in range(9)] + [("t", "s", "x", "alone\nkept"), ("t", "s", "x", "Sign up\nkept"), ("t", "s", None, "SIGN UP\nlast")]
+    df = spark.createDataFrame(docs, "tbl string, source_id string, rec_id string, text string")
+    assert lines.repeated_places(df.limit(9)).count() == 0
+    got = sorted((r.rec_id or "", r.n_removed, r.text) for r in lines.cleaned(df).collect())
+    assert got == sorted([(f"d{i}", 2, "") for i in range(1, 9)] + [("d0", 1, "own 0"), ("x", 1, "kept"), ("", 1, "last")])
+
+
+@pytest.mark.parametrize("n", [3000])
+def test_containers_hold_what_they_were_given(spark, monkeypatch, n):
+    monkeypatch.setattr(lines, "SPARSE", 64)
+    rng = random.Random(n)
+    numbers = {"few": rng.sample(range(32768), 40), "runs": [*range(5, 900), 32767], "bits": rng.sample(range(32768), n)}
+    rows = [("t", "s", k, 0, v, x % 3) for k, xs in ((1, numbers["few"]), (2, numbers["runs"]), (3, numbers["bits"])) for x in xs for v in [x]]
+    df = spark.createDataFrame(rows, "tbl string, source_id string, h bigint, block bigint, low int, v bigint").withColumn("low", F.col("low").cast("smallint"))
+    made = lines.line_bitmaps(df)
+    assert {r.h: r.n_docs for r in made.collect()} == {1: 40, 2: 896, 3: n}
+    asked = spark.range(0, 32768, 7).select(F.col("id").cast("int").alias("x")).crossJoin(made).where(lines.holds(F.col("x")))
+    got = {(r.h, r.x) for r in asked.select("h", "x").collect()}
+    assert got == {(h, x) for h, k in ((1, "few"), (2, "runs"), (3, "bits")) for x in numbers[k] if x % 7 == 0}
+
+
 # --- p4 -------------------------------------------------------------------------------------------------------------
-def test_bagminhash_is_unbiased():
+def test_bagminhash_is_unbiased(monkeypatch):
     rng = np.random.default_rng(0)
     a = {int(x): int(w) for x, w in zip(rng.integers(1, 10**9, 40), rng.integers(1, 17, 40))}
     b = {k: (v if i % 3 else max(1, v // 2)) for i, (k, v) in enumerate(a.items()) if i < 32} | {7: 9, 8: 3}
     keys = list(a), list(b)
-    sig = signatures(np.array(keys[0] + keys[1], dtype=np.uint64), np.array([a[k] for k in keys[0]] + [b[k] for k in keys[1]]), np.array([0, len(a)]), 4096, 4)
+    elements, levels, starts = np.array(keys[0] + keys[1], dtype=np.uint64), np.array([a[k] for k in keys[0]] + [b[k] for k in keys[1]]), np.array([0, len(a)])
+    sig = signatures(elements, levels, starts, 4096, 4)
     want = sum(min(a.get(k, 0), b.get(k, 0)) for k in {*a, *b}) / sum(max(a.get(k, 0), b.get(k, 0)) for k in {*a, *b})
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03
+    # where the processes are stopped, and in what blocks they are followed, changes nothing
+    for slack, block in ((-3.0, 1 << 17), (20.0, 1 << 17), (5.0, 16)):
+        monkeypatch.setattr(bagminhash, "SLACK", slack)
+        monkeypatch.setattr(bagminhash, "BLOCK", block)
+        assert (signatures(elements, levels, starts, 512, 4) == signatures(elements[::-1], levels[::-1], np.array([0, len(b)]), 512, 4)[::-1]).all()
+        assert (signatures(elements, levels, starts, 512, 4)[0] == signatures(elements[: len(a)], levels[: len(a)], np.array([0]), 512, 4)[0]).all()
+    few = signatures(elements, levels, starts, 512, 4)
+    monkeypatch.undo()
+    assert (few == signatures(elements, levels, starts, 512, 4)).all()
+
+
+def test_equal_keys_of_other_bags_are_told_apart(spark):
+    rows = [("a", "x y", 512 + 2), ("b", "z w", 512 + 2), ("c", "x y", 512 + 2), ("d", "q", 256 + 1)]
+    got = {r.id: r.key for r in neardup.told_apart(spark.createDataFrame(rows, "id string, bag string, key bigint")).collect()}
+    assert got["a"] == got["c"] != got["b"] and got["d"] == 257 and got["a"] & 255 == 2
 
 
 def brute_groups(texts, distinct):
@@ -197,7 +257,7 @@ def test_groups_by_brute_force(spark, distinct):
         texts[f"copy{k}"] = "a b c d e f g h i j k l m n o p q r s t" + (f" x{k}" if k % 2 else "")
     texts |= {"null": None, "empty": "", "signs": "?!", "long": "word " * 30_000}
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in texts.items()], "id string, text string, label int, key string")
-    got = neardup.groups(df.select("id", "text"), F.coalesce("text", F.lit("")), distinct=distinct).collect()
+    got = neardup.groups(df.select("id", "text"), F.coalesce("text", F.lit("")), distinct=distinct, n_bands=120).collect()  # so many that none is missed
     found = {}
     for r in got:
         found.setdefault(r.label, set()).add(r.id)
@@ -221,7 +281,7 @@ def test_links_by_brute_force(spark, monkeypatch, block):
                 words[at] = rng.choice(vocabulary)
             texts[f"g{g}-{k}"] = " ".join(words)
         texts[f"g{g}-copy"] = texts[f"g{g}-0"]
-    got = neardup.groups(spark.createDataFrame(list(texts.items()), "id string, text string"), F.col("text")).collect()
+    got = neardup.groups(spark.createDataFrame(list(texts.items()), "id string, text string"), F.col("text"), n_bands=120).collect()
     bags = {tuple(sorted(t.split())): r.label for r in got for t in [texts[r.id]]}
     near = lambda a, b: sum((Counter(a) & Counter(b)).values()) >= 0.6 * sum((Counter(a) | Counter(b)).values()) - 1e-12
     want = {a: sum(a != b and bags[a] == bags[b] and near(a, b) for b in bags) for a in bags}

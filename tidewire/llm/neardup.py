@@ -5,12 +5,13 @@ a band are candidates; a candidate pair is linked if the exact multiset overlap
 counts) reaches the threshold. Groups are the components of the links.
 
 The signature weighs a word by its rarity, in whole levels: words that stand in over one in RARE bags weigh less the more
-common they are, all others the most. Only those common words' weights travel to the tasks; there can be at most RARE times
-the mean number of words per bag of them, whatever the size of the collection. The weights only choose candidates.
+common they are, all others the most. Only those common words' weights travel to the tasks, of the COMMON commonest at most.
+The weights only choose candidates; README gives the share of true pairs that met in a band, by similarity.
 
 Inside a band bucket not all pairs are compared at once: first every bag with the bucket's smallest, which gathers nearly
-all of a big bucket in one component; then only bags of one bucket that are still in different components. So a bucket that
-holds a third of all rows costs about its size, and no candidate link that could join two components is left out.
+all of a big bucket in one component; then only bags of one bucket that are still in different components, in blocks of bounded
+size. So a bucket that holds a third of all rows costs about its size where its bags are alike, and no candidate link that
+could join two components is left out; a bucket of many unlike components costs the product of their sizes, over many tasks.
 
 That finds the groups; a bag's links are counted when the groups are known. A link lies within a group, so every pair of
 bags of a group is checked, whether they met in a band or not: the count depends on the groups alone. A big group is cut
@@ -22,6 +23,7 @@ each different text; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +38,9 @@ SIMILARITY = 0.6
 BANDS, ROWS = 48, 5
 #: Words in more than one in RARE bags weigh less; weights are levels 1..2**DEPTH.
 RARE, DEPTH = 1000, 4
-#: Bags in a block of a group whose links are counted.
+#: Most words whose weights travel to the tasks.
+COMMON = 50_000
+#: Bags in a block of a group whose links are counted or whose pairs are given, or of a part of a bucket that is compared with another.
 BLOCK = 1000
 
 
@@ -51,20 +55,31 @@ def bags(records: DataFrame, text: Column, distinct: bool) -> DataFrame:
     sizes without looking at the bags."""
     found = words(text)
     found = F.array_sort(F.array_distinct(found) if distinct else found)
-    size = F.least(F.size(F.split("bag", " ")), F.lit(255)).cast("bigint")
     # a repeated word counts by its numbered copies: overlap of the numbered words is multiset overlap
-    return records.select("id", F.array_join(found, " ").alias("bag")).where("bag <> ''").withColumn("key", F.xxhash64("bag").bitwiseAND(F.lit(-256).cast("bigint")).bitwiseOR(size))
+    return records.select("id", F.array_join(found, " ").alias("bag")).where("bag <> ''").withColumn("key", _key(F.xxhash64("bag")))
+
+
+def _key(h: Column) -> Column:
+    size = F.least(F.size(F.split("bag", " ")), F.lit(255)).cast("bigint")
+    return h.bitwiseAND(F.lit(-256).cast("bigint")).bitwiseOR(size)
+
+
+def told_apart(members: DataFrame) -> DataFrame:
+    """members with other keys for bags that share one by chance, as a second hash tells: it takes 112 equal bits to be taken for
+    the same bag."""
+    second = F.xxhash64(F.lit("second"), "bag")
+    clash = members.groupBy("key").agg(F.min(second).alias("low"), F.max(second).alias("high")).where("low <> high").select(F.col("key").alias("k"))
+    return members.join(clash, F.col("key") == F.col("k"), "left").select("id", "bag", F.when(F.col("k").isNull(), F.col("key")).otherwise(_key(second)).alias("key"))
 
 
 def word_levels(bag: DataFrame) -> dict[str, int]:
-    """Weight levels of the common words; every other word has the top level."""
+    """Weight levels of the common words, of the COMMON commonest at most; every other word has the top level."""
     n = max(bag.count(), 1)
     df = bag.select(F.explode(F.array_distinct(F.split("bag", " "))).alias("w")).groupBy("w").count().where(F.col("count") * RARE > n)
     top = 1 << DEPTH
-    import math
-
-    # at most RARE x (mean words per bag) rows
-    return {r.w: max(1, round(top * (math.log(n / r["count"]) / math.log(RARE)) ** 2)) for r in df.collect()}
+    # the weights choose candidates only, so words beyond the bound may well weigh the most
+    common = df.orderBy(F.desc("count"), "w").limit(COMMON).collect()
+    return {r.w: max(1, round(top * (math.log(n / r["count"]) / math.log(RARE)) ** 2)) for r in common}
 
 
 def band_values(bag: DataFrame, levels: dict[str, int], n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -171,7 +186,7 @@ def degrees(label: DataFrame, members: DataFrame, similarity: float) -> DataFram
 def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, distinct: bool = False, n_bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
     """One row per record: id, key, label (equal within a group) and, if counted, n_links (all links of its bag to other bags
     of the group)."""
-    members = written(bags(records, text, distinct), "bags")
+    members = written(told_apart(written(bags(records, text, distinct), "bags")), "members")
     band = written(band_values(members, word_levels(members), n_bands, rows), "bands")
     met = band.where("rep is not null")
     heads = band.where("rep is null").select("band", "key").repartition("band")
@@ -187,13 +202,17 @@ def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, dis
     in_bucket = written(in_bucket, "buckets")
     split = in_bucket.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
     apart = in_bucket.join(split, "band")
-    labels = apart.select("band", "label").distinct()
-    crossed = labels.join(labels.select(F.col("band").alias("band2"), F.col("label").alias("label2")), (F.col("band") == F.col("band2")) & (F.col("label") < F.col("label2"))).select("band", "label", "label2")
-    others = apart.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("label").alias("l2"))
+    # components of one bucket in blocks: a task takes the pairs of two blocks
+    labels = apart.groupBy("band", "label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    apart = apart.join(labels, ["band", "label"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).drop("blocks")
+    second = labels.select("band", F.col("label").alias("label2"), F.col("blocks").alias("blocks2"))
+    crossed = labels.join(second, "band").where("label < label2").select("band", "label", "label2", "blocks2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    crossed = crossed.select("band", "label", "label2", "block", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("block2"))
     rest = (
-        crossed.join(apart.select("band", "label", F.col("key").alias("a")), ["band", "label"])
-        .join(others, (F.col("band") == F.col("band2")) & (F.col("label2") == F.col("l2")))
-        .select(F.least("a", "key2").alias("a"), F.greatest("a", "key2").alias("b"))
+        crossed.join(apart.select("band", "label", "block", F.col("key").alias("a")), ["band", "label", "block"])
+        .join(apart.select("band", F.col("label").alias("label2"), F.col("block").alias("block2"), F.col("key").alias("b")), ["band", "label2", "block2"])
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .where(sized(F.col("a"), F.col("b"), similarity))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
@@ -214,8 +233,13 @@ def _stories(spark: SparkSession, sf_dir: str, distinct: bool, counted: bool) ->
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of stories of one group (the result's fixed form), word sets as TESTDATA.md has them."""
     found = written(_stories(spark, sf_dir, distinct=True, counted=False), "groups")
-    a, b = found.select(F.col("id").alias("id_a"), "label"), found.select(F.col("id").alias("id_b"), F.col("label").alias("label_b"))
-    return a.join(b, (F.col("label") == F.col("label_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b").distinct()
+    # a group's pairs in blocks, so that no key holds all of a large group
+    blocks = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = found.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    a = rows.select(F.col("id").alias("x"), "label", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    b = rows.select(F.col("id").alias("y"), "label", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    pairs = a.join(b, ["label", "i", "j"]).where(((F.col("i") < F.col("j")) & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

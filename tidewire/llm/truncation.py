@@ -1,32 +1,41 @@
 """Text cut off by field limits (problem 1).
 
-Two kinds of evidence are put together for each value.
+Two kinds of evidence are put together for each value by one mixture model, fitted by expectation and maximisation.
 
-Length: per source and field the natural length is a lifetime with right-censoring: a value that ends where a sentence ends
-is an observed end, one that does not is censored. A piecewise-constant hazard is fitted by maximum likelihood (ends over
-characters at risk, in closed form, all counts over all rows). At a candidate limit, that is at each length that occurs,
-the prior odds of a cut are the values there beyond what the hazard lets end there, against the natural ends expected.
+Length: per source and field two hazards compete at each length, that of the text's own end and that of being cut. A value
+that was cut is a right-censored observation of its natural length, one that ended by itself is one of the cut. Both hazards
+are fitted by maximum likelihood, in closed form: expected ends over characters at risk, in pieces of BIN characters; and at
+candidate limits, lengths that more values have than those around them, cuts at just that length over values at risk. Lists of
+headlines are texts of another form, with natural lengths of their own; they are cut at the same limits.
 
 Ending: what was put after a break is taken off (repeated lines of the source, tags and entities that were never closed,
 ellipses, "read more", links, tags with #, emoji, the source's name in brackets); then the last signs are classed. A
-decimal number that lost its digits and a quotation that goes on are told by how the same words go on elsewhere in the
-corpus. The posterior log odds are the sum; a value counts as cut where they are over 0.
+decimal number that may have lost its digits and a quotation that may go on are classed by how the same words go on elsewhere
+in the corpus. How likely each class is among cut values, and among whole ones, is fitted together with the hazards.
+
+The posterior log odds of a value are those of the two hazards at its length and of the two likelihoods of its ending. A value
+is a case if they are over 0 and it does not end as a sentence does: a cut that fell on a sentence's end has left no break.
 
 Defined results: null, blank and no-value texts, and texts of additions only, are no cases. Null sources are one source of
-their own. Repeated rows give the same verdict. A list of complete headlines counts as complete unless its source has a
-limit at just its length.
+their own. Repeated rows give the same verdict. A list of complete headlines counts as complete unless its source cuts at
+just its length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import decode_entities, plain_ws, says_nothing, with_line_key
 from tidewire.session import step, table, written
 
-#: Width of the hazard's pieces in characters, and the count with which rare lengths are smoothed.
-BIN, SMOOTH = 16, 0.05
+#: Width of the hazards' pieces in characters, the count with which rare ones are smoothed, and rounds of the fit.
+BIN, SMOOTH, ROUNDS = 16, 0.05, 8
+#: What the fit starts from, and counts as PRIOR values of each class: how likely values of a class are cut (others: one in two).
+START = {"complete": 0.01, "quote_ends": 0.1, "number_ends": 0.1, "list": 0.1, "quote_goes_on": 0.7, "number_goes_on": 0.7, "open": 0.9, "abbreviation": 0.9}
+PRIOR = 1.0
 #: From so many values of a source on, a last line counts as added to the texts.
 ADDED_LINE = 3
 
@@ -95,23 +104,23 @@ def _context(word: Column) -> Column:
 
 
 def features(values: DataFrame) -> DataFrame:
-    """One row per value, without its text: length of the body, class of its ending, and what decides the doubtful classes."""
+    """One row per value, without its text: length of the body, class of its ending, and what the doubtful classes are told by."""
     abbreviation = rf"(?:^|[\s(\"“'])(?:{'|'.join(ABBREVIATIONS)})\.\z"
-    body = F.col("body")
+    body, tail = F.col("body"), F.substring("body", -2, 2)
     odd_quotes = (F.length(body) - F.length(F.replace(body, F.lit('"'), F.lit("")))) % 2 == 1
-    shape = F.regexp_replace(F.regexp_extract(body, _NUMBER + r"\.\z", 2), r"\d", "d")
     kind = (
         F.when(body.endswith(".") & F.substring(body, -12, 12).rlike(abbreviation), "abbreviation")
         .when(_is_list(body), "list")
-        .when(~body.rlike(_END), "open")
-        .when(F.substring(body, -2, 2).rlike(r"\d\."), "number")
-        .when(odd_quotes & ~body.rlike('"\\z'), "in_quotes")
-        .when(F.substring(body, -2, 2).rlike(_QUOTE_END), "quote")
+        .when(~tail.rlike(r"[.!?。！？؟।]\z") & ~(tail.rlike("['\"”’»)\\]]\\z") & body.rlike(_END)), "open")
+        .when(tail.rlike(r"\d\."), "number")
+        .when(odd_quotes & ~body.endswith('"'), "in_quotes")
+        .when(tail.rlike(_QUOTE_END), "quote")
         .otherwise("complete")
     )
-    return values.where(body.rlike(r"[\p{L}\p{N}]")).select(
-        "id", "source_id", "field_name", F.length(body).alias("len"), kind.alias("kind"), _context(F.regexp_extract(body, _NUMBER + r"\.\z", 1)).alias("word"), shape.alias("shape"), F.substring(body, -2, 2).alias("tail")
-    )
+    df = step(values.where(body.rlike(r"[\p{L}\p{N}]")), kind=kind)
+    # the last number and the word before it, only where they are asked for
+    last = lambda i: F.when(F.col("kind") == "number", F.regexp_extract(body, _NUMBER + r"\.\z", i))
+    return df.select("id", "source_id", "field_name", F.length(body).alias("len"), "kind", _context(last(1)).alias("word"), F.regexp_replace(last(2), r"\d", "d").alias("shape"), tail.alias("tail"))
 
 
 def number_contexts(values: DataFrame) -> DataFrame:
@@ -122,8 +131,8 @@ def number_contexts(values: DataFrame) -> DataFrame:
     return parts.groupBy("word", "form").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("n_ends"))
 
 
-def number_odds(doubtful: DataFrame, contexts: DataFrame) -> DataFrame:
-    """doubtful (word, shape) with number_odds: a number like this, after this word, was cut at its decimal point."""
+def number_kinds(doubtful: DataFrame, contexts: DataFrame) -> DataFrame:
+    """doubtful (word, shape) with number_kind: whether a number like this, after this word, rather goes on or ends a sentence."""
     contexts = contexts.withColumn("stem", F.regexp_replace("form", r"\.d+\z", ""))
     same = contexts.select(F.col("word").alias("w1"), F.col("form").alias("f1"), "n", "n_ends")
     longer = contexts.where(F.col("form") != F.col("stem")).groupBy(F.col("word").alias("w2"), F.col("stem").alias("f2")).agg(F.sum("n").alias("n_longer"))
@@ -131,11 +140,12 @@ def number_odds(doubtful: DataFrame, contexts: DataFrame) -> DataFrame:
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     # where such a number ends sentences here, only its decimals speak for a cut; where it never does, all that goes on does
     goes_on = zero("n_longer") + F.when(zero("n_ends") == 0, zero("n")).otherwise(0) + F.when(zero("n_form") == 0, 3).otherwise(0)
+    kind = F.when(goes_on > zero("n_ends"), "number_goes_on").when(goes_on < zero("n_ends"), "number_ends").otherwise("number_unknown")
     return (
         doubtful.join(same, (F.col("word") == F.col("w1")) & (F.col("shape") == F.col("f1")), "left")
         .join(longer, (F.col("word") == F.col("w2")) & (F.col("shape") == F.col("f2")), "left")
         .join(known, F.col("shape") == F.col("f3"), "left")
-        .select("id", "field_name", (F.log((goes_on + 0.5) / (zero("n_ends") + 0.5)) - 0.5).alias("number_odds"))
+        .select("word", "shape", kind.alias("number_kind"))
     )
 
 
@@ -146,56 +156,83 @@ def quote_contexts(values: DataFrame) -> DataFrame:
     return found.groupBy(F.substring("x", 1, 2).alias("tail")).agg(F.count_if(on).alias("goes_on"), F.count_if(~on).alias("ends"))
 
 
-def length_odds(feats: DataFrame) -> DataFrame:
-    """Prior log odds of a cut at each length: source_id, field_name, len, n_at, hazard, log_odds."""
-    complete = F.col("kind") == "complete"
-    at = feats.groupBy("source_id", "field_name", "len").agg(F.count(F.lit(1)).alias("n_at"), F.count_if(complete).alias("d_at"))
-    keyed = at.withColumn("bin", F.floor(F.col("len") / BIN).cast("int"))
-    bins = keyed.groupBy("source_id", "field_name", "bin").agg(F.sum("n_at").alias("n"), F.sum("d_at").alias("d"), F.sum(F.col("n_at") * (F.col("len") % BIN)).alias("part"))
-    later = Window.partitionBy("source_id", "field_name").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    # characters at risk in the piece: whole pieces of the longer values, parts of those that end in it
-    exposure = F.coalesce(F.sum("n").over(later), F.lit(0)) * BIN + F.col("part") + F.col("n")
-    rates = bins.select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), F.col("bin").alias("b"), (F.col("d") / exposure).alias("hazard"), (exposure / BIN).alias("at_risk"))
-    same = F.col("source_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("bin") == F.col("b"))
-    natural = F.col("hazard") * F.col("at_risk")
-    odds = (F.greatest(F.col("n_at") - natural, F.lit(0.0)) + SMOOTH) / (natural + SMOOTH)
-    return keyed.join(rates, same).select("source_id", "field_name", "len", "n_at", "hazard", F.log(odds).alias("log_odds"))
+def classed(values: DataFrame) -> DataFrame:
+    """Every value without its text: id, source_id, field_name, len, kind (of the ending, the doubtful ones told by their contexts)."""
+    feats = written(features(values), "truncation")
+    kept = ["id", "source_id", "field_name", "len"]
+    doubtful = feats.where("kind = 'number'")
+    numbers = number_kinds(doubtful.select("word", "shape").distinct(), number_contexts(values)).select(F.col("word").alias("w"), F.col("shape").alias("h"), "number_kind")
+    numbers = doubtful.join(numbers, (F.col("word") == F.col("w")) & (F.col("shape") == F.col("h")), "left").select(*kept, F.coalesce("number_kind", F.lit("number_unknown")).alias("kind"))
+    quotes = quote_contexts(values).select(F.col("tail").alias("q"), F.when(F.col("goes_on") > F.col("ends"), "quote_goes_on").otherwise("quote_ends").alias("quote_kind"))
+    others = feats.where("kind <> 'number'").join(F.broadcast(quotes), (F.col("kind") == "quote") & (F.col("tail") == F.col("q")), "left")  # one row per sentence sign: at most three
+    return others.select(*kept, F.when(F.col("kind") == "quote", F.coalesce("quote_kind", F.lit("quote_ends"))).otherwise(F.col("kind")).alias("kind")).unionByName(numbers)
+
+
+def cells(values: DataFrame) -> DataFrame:
+    """Numbers of values by source_id, field_name, len and kind, with what the fit holds on to: characters at risk in the piece, of
+    texts of the form (own_exposure) and of all, values at risk at the length, whether the length is a candidate limit. There
+    are as many rows as sources, lengths and kinds: the table does not grow with the number of values."""
+    counted = values.groupBy("source_id", "field_name", "len", "kind").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumns({"bin": F.floor(F.col("len") / BIN).cast("int"), "is_list": F.col("kind") == "list"})
+    of = Window.partitionBy("source_id", "field_name")
+
+    def exposure(*form: str) -> Column:
+        longer = F.sum("n").over(Window.partitionBy("source_id", "field_name", *form).orderBy(F.desc("bin")).rangeBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(longer, F.lit(0)) * BIN + F.sum(F.col("n") * (F.col("len") % BIN + 1)).over(Window.partitionBy("source_id", "field_name", *form, "bin"))
+
+    at = F.sum("n").over(Window.partitionBy("source_id", "field_name", "len"))
+    around = (F.sum("n").over(of.orderBy("len").rangeBetween(-BIN, BIN)) - at) / (2 * BIN)
+    return counted.select(
+        "*", exposure().alias("exposure"), exposure("is_list").alias("own_exposure"), F.sum("n").over(of.orderBy(F.desc("len")).rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("at_risk"),
+        (at > around + 4 * F.sqrt(around) + 5).alias("is_limit"),
+    )
+
+
+def fitted(counted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """cells with natural and cut (the hazards at the length), ending (log likelihood ratio of the kind) and log_odds."""
+    pairs = [F.lit(x) for kv in START.items() for x in kv]
+    df = counted.withColumn("p", F.coalesce(F.element_at(F.create_map(*pairs), F.col("kind")), F.lit(0.5)))
+    for _ in range(rounds):
+        df = written(df, "fit")
+        # of each kind, expected cut and whole values, out of those of its form: as many rows as kinds
+        by_kind = df.groupBy("is_list", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("cut"), F.sum(F.col("n") * (1 - F.col("p"))).alias("whole")).collect()
+        ratio = {"": 0.0}
+        for r in by_kind:
+            start = {x.kind: START.get(x.kind, 0.5) for x in by_kind if x.is_list == r.is_list}
+            cut = sum(x.cut + PRIOR * start[x.kind] for x in by_kind if x.kind in start)
+            whole = sum(x.whole + PRIOR * (1 - start[x.kind]) for x in by_kind if x.kind in start)
+            ratio[r.kind] = math.log((r.cut + PRIOR * start[r.kind]) / cut) - math.log((r.whole + PRIOR * (1 - start[r.kind])) / whole)
+        piece, at = Window.partitionBy("source_id", "field_name", "bin"), Window.partitionBy("source_id", "field_name", "len")
+        natural = (F.sum(F.col("n") * (1 - F.col("p"))).over(Window.partitionBy("source_id", "field_name", "is_list", "bin")) + SMOOTH) / F.col("own_exposure")
+        spread = (F.sum(F.when(~F.col("is_limit"), F.col("n") * F.col("p")).otherwise(0.0)).over(piece) + SMOOTH) / F.col("exposure")
+        spike = (F.sum(F.col("n") * F.col("p")).over(at) + SMOOTH) / F.col("at_risk")
+        df = df.select(*counted.columns, natural.alias("natural"), F.when(F.col("is_limit"), F.greatest(spike, spread)).otherwise(spread).alias("cut"), F.element_at(F.create_map(*[F.lit(x) for kv in ratio.items() for x in kv]), F.col("kind")).alias("ending"))
+        df = df.withColumn("log_odds", F.log(F.col("cut") / F.col("natural")) + F.col("ending")).withColumn("p", 1 / (1 + F.exp(-F.col("log_odds"))))
+    return df
 
 
 def posteriors(stories: DataFrame) -> DataFrame:
-    """Every value with its posterior: id, source_id, field_name, len, kind, n_at, hazard, log_odds (over 0: cut)."""
-    values = _with_body(_without_added_lines(_values(stories)))
-    feats = written(features(values), "truncation")
-    doubtful = feats.where(F.col("kind") == "number").select("id", "field_name", "word", "shape").distinct()
-    numbers = number_odds(doubtful, number_contexts(values)).select(F.col("id").alias("i"), F.col("field_name").alias("g"), "number_odds")
-    quotes = quote_contexts(values).select(F.col("tail").alias("q"), F.log((F.col("goes_on") + 0.5) / (F.col("ends") + 0.5)).alias("quote_odds"))
-    prior = length_odds(feats).select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), F.col("len").alias("l"), "n_at", "hazard", F.col("log_odds").alias("prior"))
-    ending = (
-        F.when(F.col("kind").isin("open", "abbreviation"), F.lit(9.0))
-        .when(F.col("kind") == "in_quotes", F.lit(2.0))
-        .when(F.col("kind") == "list", F.lit(-4.0))
-        .when(F.col("kind") == "number", F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.coalesce("number_odds", F.lit(0.0)))))
-        .when(F.col("kind") == "quote", F.greatest(F.lit(-9.0), F.least(F.lit(9.0), F.coalesce("quote_odds", F.lit(-9.0)))))
-        .otherwise(F.lit(-9.0))
-    )
-    # only the doubtful endings wait for the length; the others would need more than any limit gives
-    weight = F.when(F.col("kind").isin("open", "abbreviation", "complete"), F.lit(0.5)).otherwise(F.lit(1.0))
-    return (
-        feats.join(prior, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("len") == F.col("l")), "left")
-        .join(numbers, (F.col("id") == F.col("i")) & (F.col("field_name") == F.col("g")), "left")
-        .join(F.broadcast(quotes), F.col("tail") == F.col("q"), "left")  # one row per sentence sign: at most three
-        .select("id", "source_id", "field_name", "len", "kind", "n_at", "hazard", (F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("prior"))) * weight + ending).alias("log_odds"))
-    )
+    """Every value with its posterior: id, source_id, field_name, len, kind, is_limit, natural, cut, log_odds (of having been
+    cut) and is_case (it was, and stops inside a sentence)."""
+    values = written(classed(_with_body(_without_added_lines(_values(stories)))), "classed")
+    model = fitted(cells(values)).select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), F.col("len").alias("l"), F.col("kind").alias("k"), "is_limit", "natural", "cut", "log_odds")
+    same = F.col("source_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("len") == F.col("l")) & (F.col("kind") == F.col("k"))
+    return values.join(model, same).drop("s", "f", "l", "k").withColumn("is_case", (F.col("log_odds") > 0) & (F.col("kind") != "complete"))
+
+
+def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posteriors(table(spark, sf_dir, "story").select("id", "source_id", "summary", "excerpt"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posteriors(table(spark, sf_dir, "story").select("id", "source_id", "summary", "excerpt")).where(F.col("log_odds") > 0).select("id", "field_name").distinct()
+    return _posteriors(spark, sf_dir).where("is_case").select("id", "field_name").distinct()
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source cuts each field, and the length at which it does so most."""
-    cut = F.col("log_odds") > 0
-    by_len = posteriors(table(spark, sf_dir, "story").select("id", "source_id", "summary", "excerpt")).groupBy("source_id", "field_name", "len").agg(F.count(F.lit(1)).alias("n"), F.count_if(cut).alias("c"))
+    """How often each source cuts each field, its limits (lengths at which more values are cut than end, with a comma between),
+    and the length at which it cuts most."""
+    by_len = _posteriors(spark, sf_dir).groupBy("source_id", "field_name", "len").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_case").alias("c"), F.max(F.col("is_limit") & (F.col("cut") > F.col("natural"))).alias("limit"))
     return by_len.groupBy("source_id", "field_name").agg(
-        F.sum("n").alias("n_values"), F.sum("c").alias("n_cut"), (F.sum("c") / F.sum("n")).alias("cut_rate"), F.max_by("len", F.struct("c", -F.col("len"))).alias("commonest_cut_length"), F.max("c").alias("n_at_that_length")
-    )
+        F.sum("n").alias("n_values"), F.sum("c").alias("n_cut"), (F.sum("c") / F.sum("n")).alias("cut_rate"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("limit"), F.col("len")))), ",").alias("limits"),
+        F.max_by("len", F.struct("c", -F.col("len"))).alias("commonest_cut_length"), F.max("c").alias("n_at_that_length"),
+    )
