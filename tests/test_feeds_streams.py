@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from tidewire.operators.editorial import ungrounded
 from tidewire.sources.feeds import parse_feeds
 from tidewire.streaming.ingest import first_seen_stream
 
@@ -25,9 +24,3 @@ def test_stream_over_batches_is_the_batch(spark, tmp_path):
     stream = spark.readStream.schema("k int, ms int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {r.k: r.ms for r in first_seen_stream(stream, ["k"], ["ms"], str(tmp_path / "home")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 13, 4: 24}
-
-
-def test_grounding(spark):
-    a, b = ungrounded(F.lit("Prices rose 45 per cent, said Jane Obi. Police at Lagos confirmed N7.5bn."), F.lit("Lagos prices rose 12 per cent; ₦7.5bn, police said"))
-    r = spark.range(1).select(a.alias("a"), b.alias("b")).first()
-    assert r.a == ["45"] and r.b == ["Jane", "Obi"]

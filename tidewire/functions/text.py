@@ -67,30 +67,42 @@ def decode_entities(x: Column | str) -> Column:
     return let(x, decoded)
 
 
+def replaced(x: Column | str, where, pattern: str, to: str) -> Column:
+    """x with the pattern replaced in texts for which where(text) holds; the others are not searched."""
+
+    def body(t: Column) -> Column:
+        return F.when(where(t), F.regexp_replace(t, pattern, to)).otherwise(t)
+
+    return let(x, body)
+
+
 def html_to_text(x: Column | str) -> Column:
-    """Readable text of markup: dropped bodies, block ends as line breaks, tags out, entities decoded, blanks collapsed."""
-    s = F.coalesce(c(x), F.lit(""))
-    for name in ("script", "style", "noscript", "iframe", "svg"):
-        s = F.regexp_replace(s, rf"(?is)<{name}(?![A-Za-z0-9_])[^>]*>.*?</{name}\s*>", " ")
-    for pattern, to in (
-        (r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"),
-        (r"(?s)<!--.*?-->", " "),
-        (r"(?i)</(p|div|li|h[1-6]|blockquote|tr)\s*>", "\n"),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"<[^>]+>", " "),
-    ):
-        s = F.regexp_replace(s, pattern, to)
-    s = decode_entities(s)
-    for pattern, to in (
-        (r"(?is)(?<![A-Za-z0-9_])The post .{0,160}? appeared first on .{0,80}?\.?\z", " "),
-        (r"(?is)(?<![A-Za-z0-9_])Continue reading.{0,80}\z", " "),
-        (r"(?i)(?<![A-Za-z0-9_])Read more(?: here)?[.:]?\s*\z", " "),
-        (r"\r", ""),
-        (r"[ \t\u00a0]+", " "),
-        (r"\s*\n\s*", "\n"),
-    ):
-        s = F.regexp_replace(s, pattern, to)
-    return trim_ws(s)
+    """Readable text of markup: dropped bodies, block ends as line breaks, tags out, entities decoded, blanks collapsed. Each
+    pattern runs only on texts that hold a sign it is for; the others pay for a plain substring search."""
+
+    def tags(s: Column) -> Column:
+        out = s
+        for name in ("script", "style", "noscript", "iframe", "svg"):
+            out = replaced(out, lambda t, n=name: F.lower(t).contains(f"<{n}"), rf"(?is)<{name}(?![A-Za-z0-9_])[^>]*>.*?</{name}\s*>", " ")
+        for pattern, to in ((r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), (r"(?s)<!--.*?-->", " ")):
+            out = replaced(out, lambda t: t.contains("<!"), pattern, to)
+        for pattern, to in ((r"(?i)</(p|div|li|h[1-6]|blockquote|tr)\s*>", "\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", " ")):
+            out = F.regexp_replace(out, pattern, to)
+        return out
+
+    def ends(s: Column) -> Column:
+        # the phrases that feeds end texts with lie within the last 300 signs
+        last = F.lower(F.substring(s, -300, 300))
+        out = replaced(s, lambda _: last.contains("appeared first on"), r"(?is)(?<![A-Za-z0-9_])The post .{0,160}? appeared first on .{0,80}?\.?\z", " ")
+        out = replaced(out, lambda _: last.contains("continue reading"), r"(?is)(?<![A-Za-z0-9_])Continue reading.{0,80}\z", " ")
+        return replaced(out, lambda _: last.contains("read more"), r"(?i)(?<![A-Za-z0-9_])Read more(?: here)?[.:]?\s*\z", " ")
+
+    def blanks(s: Column) -> Column:
+        out = replaced(F.replace(s, F.lit("\r"), F.lit("")), lambda t: t.contains("  ") | t.contains("\t") | t.contains("\u00a0"), r"[ \t\u00a0]+", " ")
+        return replaced(out, lambda t: t.contains("\n"), r"\s*\n\s*", "\n")
+
+    s = let(F.coalesce(c(x), F.lit("")), lambda t: F.when(t.contains("<"), tags(t)).otherwise(t))
+    return trim_ws(let(let(decode_entities(s), ends), blanks))
 
 
 def trim_ws(x: Column | str) -> Column:
@@ -166,17 +178,37 @@ def title_key(x: Column | str) -> Column:
     return let(single_line(x), key)
 
 
+#: For each four bits the same bits in lanes of sixteen: four counts are summed in one number.
+_LANES = [sum(((n >> k) & 1) << (16 * k) for k in range(4)) for n in range(16)]
+
+
 def simhash_of_tokens(sig: Column) -> Column:
-    """64-bit SimHash of a significant-token list as a BIGINT: unigrams count 1, neighbours joined by '_' count 2."""
+    """64-bit SimHash of a significant-token list as a BIGINT: unigrams count 1, neighbours joined by '_' count 2. A bit is set if
+    more than half the weight has it; the counts of four bits are summed in one number, sixteen numbers in all. Only of lists
+    too long for that (their weight would outgrow a lane) every bit is counted by itself."""
     hashed = lambda f: F.conv(F.substring(F.md5(f), 1, 16), 16, -10).cast("bigint")
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    grams = F.transform(F.slice(sig, 2, F.greatest(F.size(sig), F.lit(1))), lambda t, i: F.struct(hashed(F.concat(F.get(sig, i), F.lit("_"), t)).alias("h"), F.lit(2).alias("w")))
-    features = F.concat(F.transform(sig, lambda t: F.struct(hashed(t).alias("h"), F.lit(1).alias("w"))), grams)
-    vote = lambda fs, i: F.aggregate(fs, F.lit(0), lambda s, f: s + F.when(F.getbit(f["h"], i) == 1, f["w"]).otherwise(-f["w"]))
-    return let(
-        features,
-        lambda fs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda acc, i: F.when(vote(fs, i) > 0, acc.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(acc)),
-    )
+    weigh = lambda h, w: F.struct(h.alias("h"), F.lit(w).cast("bigint").alias("w"))
+    grams = lambda t: F.transform(F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda x, i: weigh(hashed(F.concat(F.get(t, i), F.lit("_"), x)), 2))
+    features = let(F.coalesce(sig, F.array().cast("array<string>")), lambda t: F.concat(F.transform(t, lambda x: weigh(hashed(x), 1)), grams(t)))
+    lanes, nibbles = F.array(*[F.lit(x).cast("bigint") for x in _LANES]), F.sequence(F.lit(0), F.lit(60), F.lit(4))
+    low = lambda x, shift, mask: F.call_function("shiftrightunsigned", x, shift).bitwiseAND(F.lit(mask).cast("bigint"))
+
+    def summed(fs: Column) -> Column:
+        zero = F.array(*[none] * 16)
+        counts = F.aggregate(fs, zero, lambda acc, f: F.zip_with(acc, nibbles, lambda n, i: n + F.get(lanes, low(f["h"], i, 15).cast("int")) * f["w"]))
+        half = F.aggregate(fs, none, lambda acc, f: acc + f["w"])
+        code = lambda cs, total: F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)), none,
+            lambda acc, i: F.when(2 * low(F.get(cs, (i / 4).cast("int")), (i % 4) * 16, 0xFFFF) > total, acc.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(acc),
+        )
+        return let(F.struct(counts.alias("c"), half.alias("t")), lambda m: code(m["c"], m["t"]))
+
+    def voted(fs: Column) -> Column:
+        vote = lambda i: F.aggregate(fs, none, lambda acc, f: acc + F.when(F.getbit(f["h"], i) == 1, f["w"]).otherwise(-f["w"]))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda acc, i: F.when(vote(i) > 0, acc.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(acc))
+
+    return let(features, lambda fs: F.when(F.size(fs) < 30_000, summed(fs)).otherwise(voted(fs)))
 
 
 def simhash_hex(x: Column | str) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.session import table
+from tidewire.functions.formats import truncate
+from tidewire.functions.text import single_line
+from tidewire.session import step, table
 
 # Categories in their order of display, and source types.
 CATEGORIES = ("nigeria", "politics", "business", "technology", "sports", "entertainment", "world")
@@ -19,6 +21,10 @@ SOURCE_TYPES = (
 )
 
 
+#: The time at which the queries look at the front page.
+NOW = "2025-10-28 00:00:00"
+
+
 def by_importance() -> list[Column]:
     return [F.desc_nulls_last("importance"), F.desc_nulls_last("fetched_at"), F.asc("id")]
 
@@ -50,24 +56,31 @@ def _positioned(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
-def _top_block(stories: DataFrame) -> DataFrame:
-    """The 13 rows of the front page's top: the 60 most important, collapsed, cut."""
-    pool = stories.select("id", "headline", "cluster_id", "source_id", "importance", "fetched_at").orderBy(*by_importance()).limit(60)
-    return collapsed(pool, by_importance()).orderBy(*by_importance()).limit(13)
+def _top_block(stories: DataFrame, now: str) -> DataFrame:
+    """The 13 rows of the front page's top with their position: of the last 48 hours the 60 most important, collapsed, cut; where
+    these hours have no story, the newest 40 instead, in their order."""
+    cols = ["id", "headline", "cluster_id", "source_id", "importance", "fetched_at"]
+    since = F.lit(now).cast("timestamp") - F.expr("interval 48 hours")
+    recent = stories.where(F.col("fetched_at") >= since).select(*cols).orderBy(*by_importance()).limit(60)
+    recent = recent.withColumn("_o", F.row_number().over(Window.orderBy(*by_importance())))
+    quiet = recent.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    latest = stories.select(*cols).orderBy(*newest()).limit(40).withColumn("_o", F.row_number().over(Window.orderBy(*newest())))
+    pool = recent.unionByName(latest.join(F.broadcast(quiet)).drop("_n"))  # one row or none
+    return _positioned(collapsed(pool, [F.col("_o")]).orderBy("_o").limit(13), [F.col("_o")])
 
 
-def homepage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+def homepage_top(spark: SparkSession, sf_dir: str, now: str = NOW) -> DataFrame:
     """Lead and top rows of the front page with their sources."""
-    top = _positioned(_top_block(_stories(spark, sf_dir)), by_importance()).where("position <= 7")
+    top = _top_block(_stories(spark, sf_dir), now).where("position <= 7")
     names = _sources(spark, sf_dir).select(F.col("id").alias("source_id"), "source_name")
     slot = F.when(F.col("position") == 1, "lead").otherwise("top")
     return top.join(names, "source_id", "left").select("position", slot.alias("slot"), "id", "headline", "source_name", "importance")
 
 
-def latest_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_rail(spark: SparkSession, sf_dir: str, now: str = NOW) -> DataFrame:
     """The newest 40 without what the top block shows (all 13 rows, by id and by cluster), collapsed, first 8."""
     stories = _stories(spark, sf_dir)
-    shown = _top_block(stories)
+    shown = _top_block(stories, now)
     rail = stories.select("id", "headline", "cluster_id", "fetched_at").orderBy(*newest()).limit(40)
     rail = rail.join(shown.select("id"), "id", "left_anti").join(shown.where("cluster_id is not null").select("cluster_id"), "cluster_id", "left_anti")
     return _positioned(collapsed(rail, newest()).orderBy(*newest()).limit(8), newest()).select("position", "id", "headline")
@@ -122,23 +135,30 @@ def search_terms(raw: str) -> list[str]:
 
 
 def search_text() -> Column:
-    from tidewire.functions.text import single_line
-
-    return F.substring(F.lower(single_line(F.concat_ws(" ", "headline", "summary", "source_name", "category"))), 1, 2000)
+    """What search looks in: headline, summary, source and category as one lower-case line."""
+    return F.lower(F.concat_ws(" ", single_line("headline"), single_line("summary"), "source_name", "category"))
 
 
-def search(spark: SparkSession, sf_dir: str, query: str = "the panel", page: int = 1, size: int = 15) -> DataFrame:
-    """A page of the stories whose search text holds all words, newest first, with the number of hits."""
+def search(spark: SparkSession, sf_dir: str, query: str = "the panel", page: int = 1, size: int = 15, category: str | None = None) -> DataFrame:
+    """A page of the stories whose search text holds all words, newest first, with the number of hits and of pages."""
     words = search_terms(query) if len(query.strip()) >= 2 else []
     page = min(max(page, 1), 100)
-    text = F.lower(F.concat_ws(" ", "headline", "summary"))
     hits = _stories(spark, sf_dir).where(F.lit(bool(words)))
+    if category in CATEGORIES:
+        hits = hits.where(F.col("category") == category)
+    hits = hits.join(_sources(spark, sf_dir).select(F.col("id").alias("source_id"), "source_name"), "source_id", "left")
+    hits = step(hits.select("id", "headline", "summary", "source_name", "category", "fetched_at"), _text=search_text())
     for w in words:
-        hits = hits.where(text.contains(w))
-    total = hits.agg(F.count(F.lit(1)).alias("n_hits"))
+        hits = hits.where(F.col("_text").contains(w))
+    total = hits.agg(F.count(F.lit(1)).alias("n_hits")).select("n_hits", F.greatest(F.lit(1), F.ceil(F.col("n_hits") / size)).cast("int").alias("total_pages"))
     rows = hits.select("id", "headline", "fetched_at").orderBy(*newest()).limit(page * size)
     placed = _positioned(rows, newest()).where(F.col("position") > (page - 1) * size)
-    return placed.join(F.broadcast(total)).select("position", "id", "headline", "n_hits")  # one row
+    return placed.join(F.broadcast(total)).select("position", "id", "headline", "n_hits", "total_pages")  # one row
+
+
+def search_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a search within one category."""
+    return search(spark, sf_dir, "said the", 2, 5, "sports")
 
 
 def source_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +237,11 @@ def cluster_headlines(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame
 
 
 def vocabulary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary values that no story uses."""
-    known = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    return known.join(table(spark, sf_dir, "story").select("category").distinct(), "category", "left_anti")
+    """Every value of the vocabularies, how many rows have it, and whether none has."""
+    known = spark.createDataFrame([("category", c) for c in CATEGORIES] + [("source_type", t) for t in SOURCE_TYPES], "vocabulary string, value string")
+    used = table(spark, sf_dir, "story").select(F.lit("category").alias("vocabulary"), F.col("category").alias("value")).unionByName(_sources(spark, sf_dir).select(F.lit("source_type").alias("vocabulary"), F.col("source_type").alias("value")))
+    n = used.groupBy("vocabulary", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return known.join(n, ["vocabulary", "value"], "left").select("vocabulary", "value", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("n_rows").isNull().alias("is_unused"))
 
 
 def site_map(spark: SparkSession, sf_dir: str, most: int = 1500) -> DataFrame:
@@ -240,13 +262,17 @@ def feed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_items(spark: SparkSession, sf_dir: str, cap: int = 25) -> DataFrame:
-    """Of each source: the items that a run takes (the cap is the feature), those beyond it, the last one taken."""
-    ranked = table(spark, sf_dir, "raw_feed_item").select("source_id", "item_id", "fetched_at").withColumn("_r", F.row_number().over(Window.partitionBy("source_id").orderBy("fetched_at", "item_id")))
-    return ranked.groupBy("source_id").agg(F.count_if(F.col("_r") <= cap).alias("n_taken"), F.count_if(F.col("_r") > cap).alias("n_beyond"), F.max_by("item_id", F.when(F.col("_r") <= cap, F.col("_r"))).alias("last_taken"))
+    """Of each source: the items that a run takes (the cap is the feature), those beyond it, the last one taken. Only the first
+    ones of every partition are ranked; the others are counted."""
+    items = table(spark, sf_dir, "raw_feed_item").select("source_id", "item_id", "fetched_at")
+    ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy("source_id").orderBy("fetched_at", "item_id"))).where(F.col("_r") <= cap)
+    taken = ranked.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_taken"), F.max_by("item_id", "_r").alias("last_taken"))
+    seen = items.groupBy(F.col("source_id").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return taken.join(seen, F.col("source_id").eqNullSafe(F.col("s"))).select("source_id", "n_taken", (F.col("n") - F.col("n_taken")).alias("n_beyond"), "last_taken")
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each source: items seen, items that became a stored story (same link host and title), stories stored."""
+    """Of each source: items seen, items whose title a stored story of the source has, stories stored."""
     items = table(spark, sf_dir, "raw_feed_item").select("source_id", "title")
     stories = table(spark, sf_dir, "story").select("source_id", F.col("headline").alias("title"))
     stored = items.join(stories.distinct(), ["source_id", "title"], "left_semi").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_matched"))
@@ -286,8 +312,50 @@ def xml_escape(x: Column | str) -> Column:
     return s
 
 
-def rss_items(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
+def _utc_text(ts: Column | str) -> Column:
+    return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def rss_items(spark: SparkSession, sf_dir: str, k: int = 60, site: str = "https://site.example") -> DataFrame:
     """The newest k stories as RSS 2.0 items."""
-    rows = _positioned(_stories(spark, sf_dir).select("id", "headline", "canonical_url", "category", "fetched_at").orderBy(*newest()).limit(k), newest())
-    item = F.concat(F.lit("<item><title>"), xml_escape("headline"), F.lit("</title><link>"), xml_escape("canonical_url"), F.lit("</link><category>"), xml_escape("category"), F.lit("</category></item>"))
+    rows = _positioned(_stories(spark, sf_dir).select("id", "headline", "slug", "summary", "canonical_url", "category", "source_id", "fetched_at").orderBy(*newest()).limit(k), newest())
+    rows = rows.join(_sources(spark, sf_dir).select(F.col("id").alias("source_id"), "source_name"), "source_id", "left")
+    link = F.concat(F.lit(f"{site}/story/"), F.coalesce("slug", F.lit("")))
+    name = F.coalesce("source_name", F.lit(""))
+    rows = step(rows, _l=xml_escape(link), _d=xml_escape(F.concat(truncate(single_line("summary"), 400), F.lit(" (Reported by "), name, F.lit(")"))))
+    tag = lambda n, x: F.concat(F.lit(f"<{n}>"), x, F.lit(f"</{n.split(' ')[0]}>"))
+    item = F.concat(
+        F.lit("<item>"), tag("title", xml_escape("headline")), tag("link", F.col("_l")), tag('guid isPermaLink="true"', F.col("_l")), tag("pubDate", F.coalesce(_utc_text("fetched_at"), F.lit(""))),
+        tag("category", xml_escape("category")), F.lit('<source url="'), xml_escape("canonical_url"), F.lit('">'), xml_escape(name), F.lit("</source>"), tag("description", F.col("_d")), F.lit("</item>"),
+    )
     return rows.select("position", "id", item.alias("item"))
+
+
+def rss_channel(spark: SparkSession, sf_dir: str, now: str = NOW, title: str = "Tidewire", site: str = "https://site.example") -> DataFrame:
+    """One row: the newest stories as an RSS 2.0 document."""
+    items = rss_items(spark, sf_dir, site=site).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))), lambda x: x["item"]), "").alias("items"))
+    head = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel>'), F.lit(f"<title>{title}</title><link>{site}</link><lastBuildDate>"),
+        _utc_text(F.lit(now).cast("timestamp")), F.lit(f'</lastBuildDate><atom:link href="{site}/rss.xml" rel="self" type="application/rss+xml" />'),
+    )
+    return items.select(F.concat(head, "items", F.lit("</channel></rss>")).alias("document"))
+
+
+def json_ld_escape(x: Column | str) -> Column:
+    """JSON for a script element: no sign that could end it."""
+    s = F.col(x) if isinstance(x, str) else x
+    for sign in "<>&\u2028\u2029":
+        s = F.replace(s, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+    return s
+
+
+def story_json_ld(spark: SparkSession, sf_dir: str, site: str = "https://site.example") -> DataFrame:
+    """Every published story as a schema.org NewsArticle in JSON-LD."""
+    names = _sources(spark, sf_dir).select(F.col("id").alias("source_id"), "source_name")
+    rows = _stories(spark, sf_dir).join(names, "source_id", "left")
+    at = F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    article = F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("NewsArticle").alias("@type"), "headline", F.concat(F.lit(f"{site}/story/"), "slug").alias("url"), at.alias("datePublished"),
+        F.col("category").alias("articleSection"), F.col("lang").alias("inLanguage"), F.struct(F.lit("Organization").alias("@type"), F.col("source_name").alias("name")).alias("author"),
+    )
+    return rows.select("id", json_ld_escape(F.to_json(article)).alias("json"))

@@ -29,9 +29,9 @@ def story_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every headline, and its distance to the story's stored one (which also saw the summary)."""
-    rows = step(table(spark, sf_dir, "story").select("id", "headline", "simhash"), own=simhash_hex("headline"))
-    return rows.select("id", F.col("own").alias("headline_simhash"), hamming_hex(F.col("own"), F.col("simhash")).alias("distance"))
+    """SimHash of every story (headline twice and summary, by which the headline weighs more), and its distance to the stored one."""
+    rows = table(spark, sf_dir, "story").select("id", "simhash", simhash_hex(F.concat_ws(" ", "headline", "headline", "summary")).alias("own"))
+    return rows.select("id", F.col("own").alias("new_simhash"), hamming_hex(F.col("own"), F.col("simhash")).alias("distance"))
 
 
 def headline_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

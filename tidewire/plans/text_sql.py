@@ -92,12 +92,12 @@ SQL |= {
     "html_texts": f"select item_id, {_html('content')} as text from raw_feed_item",
     "story_fingerprints": "select id, canonical_url, url_hash, title_key from story",
     "headline_tokens": f"select id, array_to_string({_words('headline')}, ' ') as tokens, array_to_string({_significant('headline')}, ' ') as significant from story",
-    "simhashes": f"""with w as (select id, simhash, {_significant('headline')} as w from story),
+    "simhashes": f"""with l as (select id, simhash, trim(regexp_replace({_html("concat_ws(' ', headline, headline, summary)")}, '\\s+', ' ', 'g')) as line from story), w as (select id, simhash, {_significant('line')} as w from l),
 f as (select id, unnest({_FEATURES}) as x from w),
 h as (select id, cast(('0x' || substr(md5(x.f), 1, 16)) as ubigint) as h, x.n as n from f),
 v as (select id, b, sum(case when (h >> (63 - b)) & 1 = 1 then n else -n end) as s from h, range(0, 64) t(b) group by id, b),
 g as (select id, cast(sum(case when s > 0 then cast(power(2::hugeint, 63 - b) as hugeint) else 0 end) as ubigint) as code from v group by id)
-select w.id, lpad(lower(printf('%x', coalesce(code, 0))), 16, '0') as headline_simhash, bit_count(xor(coalesce(code, 0::ubigint), {_BITS.format('simhash')})) as distance from w left join g using (id)""",
+select w.id, lpad(lower(printf('%x', coalesce(code, 0))), 16, '0') as new_simhash, bit_count(xor(coalesce(code, 0::ubigint), {_BITS.format('simhash')})) as distance from w left join g using (id)""",
     "slugs": f"""with s as (select id, canonical_url, {_SLUG} as s from story)
 select id, case when length(s) <= 40 then s when strpos(reverse(substr(s, 1, 40)), '-') > 0 and 40 - strpos(reverse(substr(s, 1, 40)), '-') > 24 then substr(s, 1, 40 - strpos(reverse(substr(s, 1, 40)), '-')) else regexp_replace(substr(s, 1, 40), '-+$', '') end as slug,
 case when s = '' then 'story' when length(s) <= 72 then s when strpos(reverse(substr(s, 1, 72)), '-') > 0 and 72 - strpos(reverse(substr(s, 1, 72)), '-') > 43.2 then substr(s, 1, 72 - strpos(reverse(substr(s, 1, 72)), '-')) else regexp_replace(substr(s, 1, 72), '-+$', '') end || '-' || substr(sha256(canonical_url), 1, 6) as unique_slug from s""",

@@ -1,4 +1,5 @@
-"""Streams: micro-batches that share the batch operators. State lives in written tables; late rows are never dropped."""
+"""Streams: micro-batches that share the batch operators. What they hold on to lives in written tables, not in a state store; no
+watermark is set, so late rows are never dropped."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.urls import normalize_url
-from tidewire.session import shared_dir, step
+from tidewire.session import shared_dir, step, written
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,31 +23,41 @@ def _run(stream: DataFrame, each, home: str, mode: str = "append") -> None:
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per day and type by a watermarked windowed aggregation in update mode; the last update of a window counts."""
+    """Events per day and type: every micro-batch writes its own counts, whose sums are the result. No state is held and no
+    watermark drops late rows; a batch that is run again after a failure replaces its counts."""
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    events = _source(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    counted = events.withWatermark("ts", "40 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    events = _source(spark, sf_dir, "events").select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), "event_type")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n").withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{home}/out")
+        batch.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{home}/out/batch_no={batch_id}")
 
-    _run(counted, each, home, "update")
-    updates = spark.read.schema("day string, event_type string, n bigint, batch int").parquet(f"{home}/out")
-    return updates.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    _run(events, each, home)
+    return spark.read.schema("day string, event_type string, n bigint, batch_no bigint").parquet(f"{home}/out").groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+#: Folders over which a stream's key history is spread; a batch reads those that its keys fall into.
+BUCKETS = 64
 
 
 def first_seen_stream(stream: DataFrame, keys: list[str], order: list[str], home: str) -> DataFrame:
-    """Rows whose key no earlier batch and no earlier row of their batch had. The history of keys is a written table that each
-    batch is held against; a batch that is run again after a failure finds its own rows by their batch number."""
+    """Rows whose key no earlier batch and no earlier row of their batch had. The history of keys is a written table in buckets,
+    of which each batch is held against those its keys fall into; a batch that is run again after a failure replaces its rows."""
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in batch.columns if c not in order])).alias("r")).select("r.*").select(*batch.columns)
-        new = first.join(spark.read.parquet(f"{home}/out").where(F.col("batch") < batch_id).select(*keys), keys, "left_anti") if batch_id > 0 else first
-        new.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{home}/out/batch_no={batch_id}")
+        first = written(first.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")), "first")
+        if batch_id > 0:
+            asked = [r.bucket for r in first.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            seen = spark.read.parquet(f"{home}/out").where((F.col("batch_no") < batch_id) & F.col("bucket").isin(asked)).select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_seen_{k}"))
+            first = first.join(seen, same, "left_anti")
+        first.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/out/batch_no={batch_id}")
 
     _run(stream, each, home)
-    return spark.read.parquet(f"{home}/out").drop("batch", "batch_no")
+    return spark.read.parquet(f"{home}/out").drop("bucket", "batch_no")
 
 
 def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
