@@ -11,6 +11,7 @@ from tidewire.llm import bagminhash, encode, history, lines, mixing, neardup, sp
 from tidewire.llm.bagminhash import signatures
 from tidewire.llm.components import components
 from tidewire.llm.tokenizer import encoder
+from tidewire.operators import arrival
 
 T0 = datetime(2025, 1, 1)
 SENTENCE = "The panel heard that the quiet network had been patrolled twice at noon. "
@@ -99,7 +100,7 @@ def brute_history(old, new):
 
 @pytest.mark.parametrize("seed, few, agree", [(1, 20_000, 1), (2, 0, 1), (3, 5, 2)])
 def test_history_is_row_by_row(spark, tmp_path, monkeypatch, seed, few, agree):
-    monkeypatch.setattr(history, "FEW", few)
+    monkeypatch.setattr(arrival, "FEW", few)
     rng = random.Random(seed)
     old, new = story_rows(rng, 40, "o"), story_rows(rng, 90, "n")
     want = brute_history(old, new)
@@ -315,6 +316,16 @@ def test_survivors(spark):
         survivor.winners(df, "cluster_id", policy="x")
 
 
+def test_votes_have_no_horizon(spark):
+    # thirty years ago: two rows of one value against one somewhat younger, all far beyond any fixed span from today
+    old = datetime(1990, 1, 1)
+    rows = [("a", "g", 1, 0, old, "Ann"), ("b", "g", 1, 0, old, "ann "), ("c", "g", 1, 0, old + timedelta(hours=60), "Bob"), ("d", "h", 1, 0, old, "Ann"), ("e", "h", 1, 0, old + timedelta(hours=60), "Bob"), ("f", "h", 9, 9, T0, None)]
+    rows += [("i", "k", 3, 0, None, "Ann"), ("j", "k", 3, 0, None, "Ann"), ("l", "k", 2, 0, None, "Bob"), ("m", "n", 1, 0, datetime(2070, 1, 1), "Ann"), ("o", "n", 1, 0, datetime(1970, 1, 1), "Bob"), ("p", "n", 1, 0, datetime(1970, 1, 2), "Bob")]
+    df = spark.createDataFrame([(*r, "x", None, "y") for r in rows], "id string, cluster_id string, trust_tier int, importance int, fetched_at timestamp, author string, dek string, excerpt string, image_url string")
+    got = {r.cluster_id: r.author for r in survivor.records(df, "cluster_id").collect()}
+    assert got == {"g": "Ann", "h": "Bob", "k": "Bob", "n": "Ann"}
+
+
 # --- p7 -------------------------------------------------------------------------------------------------------------
 def test_ids_are_the_whole_texts(spark):
     rng = random.Random(9)

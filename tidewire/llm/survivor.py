@@ -1,7 +1,8 @@
 """Best representative of each duplicate group (problem 6).
 
 The chosen fields of each group's rows are unpivoted to long rows. Per normalised value the votes of its rows are summed
-(trust of the source times decay with age), the value's own best row is found, and one value per field wins by max_by; the
+(trust of the source times decay with age, sums over
+long spans of time kept to the power of two, so that no age is clamped), the value's own best row is found, and one value per field wins by min_by; the
 winners are pivoted back to one record per group. All three steps are hash or sort aggregations with map-side combine, so
 a group that holds a third of all rows is no task of its own, and only hashes of values travel until the winners are known.
 
@@ -23,39 +24,49 @@ from tidewire.session import table
 FIELDS = ("author", "dek", "excerpt", "image_url")
 #: Votes halve with every so many hours of age.
 HALF_LIFE_HOURS = 72.0
+#: Half-lives that one sum of votes spans; longer spans are put together in logarithms.
+ERA = 512
 _LEAST, _MOST = -(2**31), 2**31 - 1
 
 
 def rank_key() -> Column:
-    """Greater is better: trust tier, importance, time, then the smallest id. The id's order is turned by negating its signs' codes."""
-    turned = F.concat(F.transform(F.split("id", ""), lambda ch: -F.ascii(ch)), F.array(F.lit(0)))
-    return F.struct((-F.coalesce("trust_tier", F.lit(_MOST))).alias("a"), F.coalesce("importance", F.lit(_LEAST)).alias("b"), F.col("fetched_at").alias("c"), turned.alias("d"))
+    """Less is better: trust tier, importance, time, then the smallest id."""
+    late = F.coalesce(-F.unix_micros("fetched_at"), F.lit(2**63 - 1))
+    return F.struct(F.coalesce("trust_tier", F.lit(_MOST)).alias("a"), (-F.coalesce("importance", F.lit(_LEAST)).cast("bigint")).alias("b"), late.alias("c"), F.col("id").alias("d"))
 
 
 def long_rows(rows: DataFrame, group: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """rows unpivoted: group, field_name, id, key (rank), vote, value (hash of the normalised value; null where there is none)."""
-    hours = (F.lit(0) - F.unix_micros("fetched_at")) / 3.6e9
-    # relative to a fixed day: a factor common to all rows of a group changes no comparison
-    decay = F.pow(F.lit(0.5), F.least(F.greatest((hours + 490_000) / HALF_LIFE_HOURS, F.lit(-900.0)), F.lit(900.0)))
-    vote = F.coalesce(decay, F.lit(0.0)) / F.coalesce(F.greatest("trust_tier", F.lit(1)), F.lit(6))
+    """rows unpivoted: grp, field_name, value (hash of the normalised value; null where there is none), key (rank), era and vote."""
+    age = F.unix_micros("fetched_at") / (3.6e9 * HALF_LIFE_HOURS)
+    era = F.floor(age / ERA)
+    vote = F.coalesce(F.pow(F.lit(2.0), age - era * ERA), F.lit(0.0)) / F.coalesce(F.greatest("trust_tier", F.lit(1)), F.lit(6))
     normal = lambda n: F.lower(F.trim(F.regexp_replace(plain_ws(F.col(n)), r"\s+", " ")))
     values = F.array(*[F.struct(F.lit(n).alias("field_name"), F.when(~says_nothing(n), F.xxhash64(normal(n))).alias("value")) for n in fields])
     return (
         rows.where(F.col(group).isNotNull())
-        .select(F.col(group).alias("grp"), "id", rank_key().alias("key"), vote.alias("vote"), F.explode(values).alias("x"))
-        .select("grp", "x.field_name", "x.value", "id", "key", "vote")
+        .select(F.col(group).alias("grp"), rank_key().alias("key"), era.alias("era"), vote.alias("vote"), F.explode(values).alias("x"))
+        .select("grp", "x.field_name", "x.value", "key", "era", "vote")
     )
 
 
 def winners(rows: DataFrame, group: str, fields: tuple[str, ...] = FIELDS, policy: str = "votes", at_least: int = 1) -> DataFrame:
-    """The row that gives each field of each group of at least so many rows: grp, field_name, id, n_rows, votes."""
+    """The row that gives each field of each group of at least so many rows: grp, field_name, id, n_rows, log_votes (to base 2,
+    null where no row has a time)."""
     if policy not in ("votes", "best_row"):
         raise ValueError("policy is 'votes' or 'best_row'")
-    by_value = long_rows(rows, group, fields).groupBy("grp", "field_name", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("vote").alias("votes"), F.max(F.struct("key", "id")).alias("best"))
-    usable = F.col("value").isNotNull()
-    order = F.struct("votes", "best") if policy == "votes" else F.struct("best", "votes")
-    by_field = by_value.groupBy("grp", "field_name").agg(F.sum("n").alias("n_rows"), F.max_by(F.struct("best.id", "votes"), F.when(usable, order)).alias("won"))
-    return by_field.where((F.col("n_rows") >= at_least) & F.col("won").isNotNull()).select("grp", "field_name", "won.id", "n_rows", "won.votes")
+    long, usable = long_rows(rows, group, fields), F.col("value").isNotNull()
+    if policy == "best_row":
+        by_value = long.groupBy("grp", "field_name", "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("best")).withColumn("log_votes", F.lit(None).cast("double"))
+        order = F.struct("best")
+    else:
+        by_era = long.groupBy("grp", "field_name", "value", "era").agg(F.count(F.lit(1)).alias("n"), F.sum("vote").alias("votes"), F.min("key").alias("best"))
+        by_value = by_era.groupBy("grp", "field_name", "value").agg(F.sum("n").alias("n"), F.min("best").alias("best"), F.max("era").alias("last"), F.collect_list(F.struct("era", "votes")).alias("eras"))
+        total = F.aggregate(F.array_sort("eras"), F.lit(0.0), lambda s, x: s + F.coalesce(x["votes"] * F.pow(F.lit(2.0), (x["era"] - F.col("last")) * ERA), F.lit(0.0)))
+        # the same votes summed in another order are the same votes
+        by_value = by_value.withColumn("log_votes", F.round(F.col("last") * ERA + F.log2(total), 6))
+        order = F.struct((-F.coalesce("log_votes", F.lit(-1e18))).alias("v"), "best")
+    by_field = by_value.groupBy("grp", "field_name").agg(F.sum("n").alias("n_rows"), F.min_by(F.struct("best.d", "log_votes"), F.when(usable, order)).alias("won"))
+    return by_field.where((F.col("n_rows") >= at_least) & F.col("won").isNotNull()).select("grp", "field_name", F.col("won.d").alias("id"), "n_rows", "won.log_votes")
 
 
 def records(rows: DataFrame, group: str, fields: tuple[str, ...] = FIELDS, policy: str = "votes") -> DataFrame:
