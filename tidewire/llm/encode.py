@@ -4,8 +4,8 @@ Texts are cut into content-defined chunks: a rolling hash over the last signs pi
 share its chunks, wherever it stands. Each distinct chunk is encoded once for the whole corpus and its ids are joined back.
 A cut is taken where the tokenizer's own splitting cannot span it (a change between letters, digits and punctuation, or
 before a single blank); where a passage offers no such place for too long, the cut is made anyway and the join is repaired:
-the stretch from the last to the next place that nothing can span is encoded anew, the window growing until both sides
-agree, and the chunks' ids are used up to it. So the ids are exactly those of the whole text.
+the stretch from the last to the next place that nothing can span is encoded anew, a window on whose both sides the text's
+own splitting agrees with the chunks', whose ids are used up to it. So the ids are exactly those of the whole text.
 
 Defined results: null and empty texts have an empty list; every row of the input gives one row, repeated ids too.
 """
@@ -139,7 +139,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, name: str = TOKENIZER, f
         # ids travel as bytes: two each where the vocabulary allows it
         enc, width = encoder(name, folder), id_type(name, folder)
         for batch in batches:
-            ids = [np.array(x, dtype=width).tobytes() for x in enc.encode_ordinary_batch(batch.column(1).to_pylist(), num_threads=1)]
+            ids = [np.array(enc.encode_ordinary(x), dtype=width).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def with_size(docs: DataFrame, text: str, out: str = "n_tokens", name: str = TOK
         enc = encoder(name, folder)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            sizes = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
+            sizes = [len(enc.encode_ordinary(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(sizes, pa.int64())], names=[*kept, out])
 
     return docs.select(*kept, text).mapInArrow(count, schema)

@@ -63,7 +63,10 @@ def mixed(docs: DataFrame, targets: DataFrame) -> DataFrame:
     queue = written(queued(docs), "queued")
     totals = docs.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("largest"))
     plan = horizon(targets, totals)
-    uses = queue.join(plan, "source").select("*", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)).alias("use"))
+    # a document's uses up to the bound, one too many at most: a great cap makes no rows that are then left out
+    last = F.floor((F.col("until") * (1 + 1e-9) * F.col("share") - F.col("cum")) / F.col("total")) + 1
+    due = queue.join(plan, "source").withColumn("last", F.least(F.col("cap").cast("bigint") - 1, F.coalesce(last, F.col("cap").cast("bigint")))).where("last >= 0")
+    uses = due.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("use"))
     finish = (F.col("use") * F.col("total") + F.col("cum")) / F.col("share")
     uses = uses.withColumn("finish", finish).where(F.col("until").isNull() | (finish <= F.col("until") * (1 + 1e-9)))
     order = ["finish", "source", "place", "doc_id", "copy", "use"]

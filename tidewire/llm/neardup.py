@@ -67,9 +67,16 @@ def _key(h: Column) -> Column:
 def told_apart(members: DataFrame) -> DataFrame:
     """members with other keys for bags that share one by chance, as a second hash tells: it takes 112 equal bits to be taken for
     the same bag."""
-    second = F.xxhash64(F.lit("second"), "bag")
-    clash = members.groupBy("key").agg(F.min(second).alias("low"), F.max(second).alias("high")).where("low <> high").select(F.col("key").alias("k"))
-    return members.join(clash, F.col("key") == F.col("k"), "left").select("id", "bag", F.when(F.col("k").isNull(), F.col("key")).otherwise(_key(second)).alias("key"))
+    return members.join(clashes(members), F.col("key") == F.col("k"), "left").select("id", "bag", F.when(F.col("k").isNull(), F.col("key")).otherwise(_key(_second())).alias("key"))
+
+
+def _second() -> Column:
+    return F.xxhash64(F.lit("second"), "bag")
+
+
+def clashes(members: DataFrame) -> DataFrame:
+    """Keys (k) that different bags share."""
+    return members.groupBy("key").agg(F.min(_second()).alias("low"), F.max(_second()).alias("high")).where("low <> high").select(F.col("key").alias("k"))
 
 
 def word_levels(bag: DataFrame) -> dict[str, int]:
@@ -186,7 +193,9 @@ def degrees(label: DataFrame, members: DataFrame, similarity: float) -> DataFram
 def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, distinct: bool = False, n_bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
     """One row per record: id, key, label (equal within a group) and, if counted, n_links (all links of its bag to other bags
     of the group)."""
-    members = written(told_apart(written(bags(records, text, distinct), "bags")), "members")
+    members = written(bags(records, text, distinct), "bags")
+    if not clashes(members).isEmpty():
+        members = written(told_apart(members), "members")
     band = written(band_values(members, word_levels(members), n_bands, rows), "bands")
     met = band.where("rep is not null")
     heads = band.where("rep is null").select("band", "key").repartition("band")
@@ -200,14 +209,12 @@ def groups(records: DataFrame, text: Column, similarity: float = SIMILARITY, dis
     meetings = far.select("band", "key").unionByName(met.select("band", "key")).unionByName(met.select("band", F.col("rep").alias("key"))).distinct()
     in_bucket = meetings.join(found, meetings["key"] == found["node"], "left").select("band", "key", F.coalesce("label", "key").alias("label"))
     in_bucket = written(in_bucket, "buckets")
-    split = in_bucket.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    apart = in_bucket.join(split, "band")
-    # components of one bucket in blocks: a task takes the pairs of two blocks
-    labels = apart.groupBy("band", "label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    apart = apart.join(labels, ["band", "label"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).drop("blocks")
-    second = labels.select("band", F.col("label").alias("label2"), F.col("blocks").alias("blocks2"))
-    crossed = labels.join(second, "band").where("label < label2").select("band", "label", "label2", "blocks2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    crossed = crossed.select("band", "label", "label2", "block", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("block2"))
+    # components of one bucket, in blocks where it is large: a task takes the pairs of two blocks
+    split = in_bucket.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("x <> y").select("band", "blocks")
+    apart = in_bucket.join(split, "band").select("band", "key", "label", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
+    labels = apart.select("band", "label", "block").distinct()
+    second = labels.select("band", F.col("label").alias("label2"), F.col("block").alias("block2"))
+    crossed = labels.join(second, "band").where("label < label2")
     rest = (
         crossed.join(apart.select("band", "label", "block", F.col("key").alias("a")), ["band", "label", "block"])
         .join(apart.select("band", F.col("label").alias("label2"), F.col("block").alias("block2"), F.col("key").alias("b")), ["band", "label2", "block2"])
