@@ -24,3 +24,19 @@ def test_stream_over_batches_is_the_batch(spark, tmp_path):
     stream = spark.readStream.schema("k int, ms int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {r.k: r.ms for r in first_seen_stream(stream, ["k"], ["ms"], str(tmp_path / "home")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 13, 4: 24}
+
+
+def test_rarer_elements(spark):
+    item = lambda x: f'<rss version="2.0" xmlns:media="m" xmlns:itunes="i" xmlns:feedburner="f"><channel><item><title>T</title>{x}</item></channel></rss>'
+    rows = {
+        "group": '<link>/a</link><media:group><media:content url="v.mp4" type="video/mp4"/><media:content url="../p.png"/></media:group><itunes:summary>Sum</itunes:summary>',
+        "enclosure": '<link>?q=1</link><enclosure url="https://y.example/s.mp3" type="audio/mpeg"/><enclosure url="https://y.example/x" type="image/jpeg"/><body>B</body>',
+        "image": "<feedburner:origLink>https://y.example/o</feedburner:origLink><image><url>https://y.example/i.webp?w=1</url></image><categories>One</categories>",
+        "pixel": '<link>/b</link><description>&lt;img src="/pixel.gif"&gt; text</description><lastBuildDate>2025-01-01</lastBuildDate>',
+        "html": '<link>/b</link><description>&lt;p&gt;&lt;img alt="" src=\'pics/a\'&gt;&lt;/p&gt;</description>',
+    }
+    feeds = spark.createDataFrame([(k, item(x)) for k, x in rows.items()], "n string, xml string").withColumn("base", F.lit("https://x.example/f/feed"))
+    got = {r.n: r for r in parse_feeds(feeds, "xml", "base").collect()}
+    assert {k: r.image_url for k, r in got.items()} == {"group": "https://x.example/p.png", "enclosure": "https://y.example/x", "image": "https://y.example/i.webp?w=1", "pixel": None, "html": "https://x.example/f/pics/a"}
+    assert (got["group"].description, got["enclosure"].content, got["enclosure"].link) == ("Sum", "B", "https://x.example/f/feed?q=1")
+    assert (got["image"].link, got["image"].categories, got["pixel"].published_at) == ("https://y.example/o", ["One"], "2025-01-01")

@@ -1,11 +1,13 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import formats, urls
 from tidewire.functions.text import decode_entities, hamming_hex, html_to_text, says_nothing, simhash_hex, single_line, title_key, with_line_key
-from tidewire.operators.similarity import components, find_duplicates, replay
-from tidewire.session import prefix_sum
+from tidewire.operators.components import components
+from tidewire.operators.similarity import find_duplicates, replay
+from tidewire.session import drop_written, prefix_sum, shared_dir, written
 
 
 def one(spark, *cols):
@@ -39,6 +41,12 @@ def test_urls(spark):
     assert list(got) == list(cases.values())
     r = one(spark, urls.resolve_url(F.lit("/b"), F.lit("https://x.example/a/c")), urls.resolve_url(F.lit("d"), F.lit("https://x.example/a/c")), urls.resolve_url(F.lit("//y/z"), F.lit("q")), urls.resolve_url(F.lit("d"), F.lit("q")))
     assert tuple(r) == ("https://x.example/b", "https://x.example/a/d", "https://y/z", "")
+    cases = {
+        "../d": "https://x.example/d", "../../../d?x=1#y": "https://x.example/d?x=1#y", "./e/../f": "https://x.example/a/f", "..": "https://x.example/", ".": "https://x.example/a/", "?q=2": "https://x.example/a/c?q=2", "#z": "https://x.example/a/c?p=1#z",
+        "/g/./h": "https://x.example/g/h", "mailto:a@b": "", "HTTP://Y.example/..": "HTTP://Y.example/..",
+    }
+    assert list(one(spark, *[urls.resolve_url(F.lit(x), F.lit("https://x.example/a/c?p=1#q")) for x in cases])) == list(cases.values())
+    assert one(spark, urls.resolve_url(F.lit("?a"), F.lit("https://x.example")))[0] == "https://x.example/?a"
 
 
 def test_formats(spark):
@@ -84,3 +92,35 @@ def test_duplicate_rules_in_order(spark):
     new = spark.createDataFrame([("n1", "y", "u1", "t9", None, t1), ("n2", "x", "u9", "t2", "0" * 16, t1), ("n3", "x", "u8", "t8", "0" * 15 + "f", t1), ("n4", "y", "u7", "t1", "0" * 16, t1), ("n5", None, None, None, None, None)], schema)
     got = {r.id: (r.matched_id, r.rule) for r in find_duplicates(new, stored).collect()}
     assert got["n1"] == ("s1", 1) and got["n2"][1] in (2, 3) and got["n3"] == ("s1", 3) and "n4" not in got and "n5" not in got
+
+
+def test_shared_folder_and_intermediates(spark):
+    path = written(spark.range(3), "three").inputFiles()[0]
+    assert path.startswith("file:") and drop_written(spark) >= 1
+    assert not spark._jvm.java.io.File(path[len("file:"):].replace("//", "/")).exists()
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster())
+
+
+def test_simhash_of_long_lists(spark):
+    # every bit by itself, and four counts in one number, give the same
+    import hashlib
+
+    words = [f"word{i % 700}" for i in range(16_000)]
+    for ws in (words, words[:900], ["one"]):
+        votes = [0] * 64
+        for f, w in [(x, 1) for x in ws] + [(f"{a}_{b}", 2) for a, b in zip(ws, ws[1:])]:
+            h = int.from_bytes(hashlib.md5(f.encode()).digest()[:8], "big")
+            for i in range(64):
+                votes[i] += w if h >> i & 1 else -w
+        want = sum(1 << i for i in range(64) if votes[i] > 0)
+        assert one(spark, simhash_hex(F.lit(" ".join(ws))))[0] == f"{want:016x}"

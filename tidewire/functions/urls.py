@@ -69,12 +69,25 @@ def image_url(x: Column | str) -> Column:
     return F.when(ok, F.regexp_replace(s, "(?i)^http:", "https:"))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments worked off."""
+    none = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+    # the first segment is the empty one before the leading slash and stays
+    kept = lambda parts: F.aggregate(parts, none, lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    whole = let(F.split(path, "/", -1), lambda parts: F.concat(F.array_join(kept(parts), "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")))
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|\z)"), whole).otherwise(path)
+
+
 def resolve_url(raw: Column | str, base: Column | str) -> Column:
-    """raw against base: absolute as it is, //host, /path and relative paths resolved, '' where that fails."""
+    """raw against base: absolute as it is; //host, /path, relative paths, ?query and #fragment resolved; '' where that fails."""
     r, b = trim_ws(F.coalesce(c(raw), F.lit(""))), trim_ws(F.coalesce(c(base), F.lit("")))
-    origin, folder = F.regexp_extract(b, r"(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(b, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    part = lambda n: F.regexp_extract(b, r"(?i)^(https?://[^/?#]+)([^?#]*)(\?[^#]*)?", n)
+    origin, path = part(1), F.coalesce(F.nullif(part(2), F.lit("")), F.lit("/"))
+    own, rest = F.regexp_extract(r, r"(?s)^([^?#]*)(.*)", 1), F.regexp_extract(r, r"(?s)^([^?#]*)(.*)", 2)
+    folder = F.regexp_replace(path, r"[^/]*\z", "")
     return (
         F.when(r == "", "").when(r.rlike(r"(?i)^https?://"), r).when(r.startswith("//"), F.concat(F.lit("https:"), r)).when(r.rlike(_SCHEME) | (origin == ""), "")
-        .when(r.startswith("/"), F.concat(origin, r)).otherwise(F.concat(folder, F.regexp_replace(r, r"^(?:\./)+", "")))
+        .when(r.startswith("?"), F.concat(origin, path, r)).when(r.startswith("#"), F.concat(origin, path, part(3), r))
+        .otherwise(F.concat(origin, _without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import hex_code, hex_to_long, significant_tokens, title_key
+from tidewire.operators.components import components
 from tidewire.session import step, table, written
 
 # Thresholds of the cluster rule, hours of the band, and the wording that vetoes a link.
@@ -90,7 +91,8 @@ def weighted(prep: DataFrame, idf: DataFrame) -> DataFrame:
 
 def cluster_edges(stories: DataFrame, hours: int = BAND_HOURS) -> DataFrame:
     """Scored links: later_id, earlier_id, score, and both times; 1 for equal title keys."""
-    prep = written(weighted(written(prepared(stories), "headlines"), idf_weights(prepared(stories))).where("not omnibus").distinct(), "weighted")
+    headlines = written(prepared(stories), "headlines")
+    prep = written(weighted(headlines, idf_weights(headlines)).where("not omnibus").distinct(), "weighted")
     span = hours * 3_600_000
     slot = lambda c: F.floor(F.col(c) / span)
     side = lambda p: prep.select(*[F.col(c).alias(f"{p}_{c}") for c in prep.columns])
@@ -100,9 +102,10 @@ def cluster_edges(stories: DataFrame, hours: int = BAND_HOURS) -> DataFrame:
     alls = prep.select(F.col("id").alias("y"), F.col("ms").alias("y_ms"), slot("ms").alias("u"), F.explode("words").alias("token2"))
     near = F.abs(F.col("x_ms") - F.col("y_ms")) <= span
     by_word = heads.join(alls, (F.col("token") == F.col("token2")) & (F.col("t") == F.col("u")) & near & (F.col("x") != F.col("y"))).select("x", "y")
-    keys = prep.select(F.col("id").alias("x"), F.col("ms").alias("x_ms"), "title_key")
-    others = prep.select(F.col("id").alias("y"), F.col("ms").alias("y_ms"), F.col("title_key").alias("k"))
-    by_key = keys.join(others, (F.col("title_key") == F.col("k")) & near & (F.col("x") < F.col("y"))).select("x", "y")
+    # a repeated headline meets itself in its own and the neighbouring slots only
+    keys = prep.select(F.col("id").alias("x"), F.col("ms").alias("x_ms"), "title_key", F.explode(F.array(slot("ms") - 1, slot("ms"), slot("ms") + 1)).alias("t"))
+    others = prep.select(F.col("id").alias("y"), F.col("ms").alias("y_ms"), F.col("title_key").alias("k"), slot("ms").alias("u"))
+    by_key = keys.join(others, (F.col("title_key") == F.col("k")) & (F.col("t") == F.col("u")) & near & (F.col("x") < F.col("y"))).select("x", "y")
     pairs = by_word.unionByName(by_key).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     both = pairs.join(a, F.col("x") == F.col("a_id")).join(b, F.col("y") == F.col("b_id"))
     stage = (F.col("a_result_only") & F.col("b_preview_only")) | (F.col("b_result_only") & F.col("a_preview_only"))
@@ -121,22 +124,6 @@ def cluster_edges(stories: DataFrame, hours: int = BAND_HOURS) -> DataFrame:
     return found.where("score is not null").groupBy("later_id", "earlier_id").agg(F.max("score").alias("score"), F.max("later_ms").alias("later_ms"), F.max("earlier_ms").alias("earlier_ms"))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): label is the smallest node reachable, by spreading minima until nothing changes."""
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        spread = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("seen"))
-        # a label's own label is taken too, which halves long chains
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        moved = written(
-            labels.join(spread, "u").join(jump, "label", "left").select("u", F.col("label").alias("before"), F.least("label", "seen", F.coalesce("further", "label")).alias("label")), "labels"
-        )
-        if moved.where("label <> before").isEmpty():
-            return moved.select(F.col("u").alias("node"), "label")
-        labels = moved.drop("before")
-
-
 def replay(ids: list, times: list, edges: dict, hours: int = BAND_HOURS) -> dict:
     """Clusters of one component, row by row in order of (time, id): a row joins the cluster of its best earlier match whose
     lead (the cluster's earliest row within the band) it matches too; otherwise it opens one, named by its id."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def _drop_own_dirs() -> None:
@@ -32,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or an own one where it is unset (tests, local runs)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset and the master is local (tests, local runs), an
+    own one; on a cluster a folder of the driver would not be seen by the executors, so there it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
         _OWN_DIRS.append(base[len("file://"):])
         spark.conf.set("spark.checkpoint.dir", base)
@@ -46,10 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut by files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables written in this application so far: to be called when the results that read them have been
+    taken. Gives their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def step(df: DataFrame, **cols: Column) -> DataFrame:
     """df with more columns that later expressions refer to. A generator of one row keeps the optimizer from inlining them
     into every use, which would compute them again and again and outgrow what can be compiled."""
