@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, id_type, token_bytes
+from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, id_type, ship_tokenizer, token_bytes
 from tidewire.session import table, written
 
 #: Signs the rolling hash sees; mean number of possible places per cut; least and greatest chunk in signs.
@@ -121,6 +121,7 @@ def segments(text: str) -> list[tuple[str, int, int]]:
 
 def encode_corpus(docs: DataFrame, key: str, text: str, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """One row per row of docs: key and ids (array<int>) of the text, without special tokens."""
+    ship_tokenizer(docs.sparkSession, name, folder)
     kind = docs.schema[key].dataType.simpleString()
     numbered = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -172,6 +173,7 @@ def with_size(docs: DataFrame, text: str, out: str = "n_tokens", name: str = TOK
     """docs without the text, with its size in tokens (0 for null and empty texts)."""
     from pyspark.sql import types as T
 
+    ship_tokenizer(docs.sparkSession, name, folder)
     kept = [c for c in docs.columns if c != text]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T.LongType())])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.encode import places
-from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, token_bytes
+from tidewire.llm.tokenizer import TOKENIZER, TOKENIZER_DIR, encoder, ship_tokenizer, token_bytes
 from tidewire.session import table
 
 #: Kinds of cuts and their penalties: a kind outweighs any number of the kinds before it. The last is inside a character.
@@ -267,6 +267,7 @@ def alone(texts: Texts, begin: np.ndarray, end: np.ndarray, limit: np.ndarray, e
 def split_documents(docs: DataFrame, profiles: DataFrame, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """docs (doc_id, text) -> pieces of the oversized ones under each profile (profile, max_tokens, overlap_tokens). The
     profiles go to the tasks in groups of bounded size, however many there are."""
+    ship_tokenizer(docs.sparkSession, name, folder)
     columns = {
         "profile": pa.string(), "doc_id": pa.int64(), "piece_no": pa.int32(), "start_token": pa.int32(), "end_token": pa.int32(), "n_tokens": pa.int32(), "cut": pa.string(), "over": pa.bool_(),
         "text": pa.string(),

@@ -32,7 +32,7 @@ from tidewire.functions.text import decode_entities, plain_ws, says_nothing, wit
 from tidewire.session import step, table, written
 
 #: Width of the hazards' pieces in characters, the count with which rare ones are smoothed, and rounds of the fit.
-BIN, SMOOTH, ROUNDS = 16, 0.05, 8
+BIN, SMOOTH, ROUNDS = 16, 0.05, 6
 #: What the fit starts from, and counts as PRIOR values of each class: how likely values of a class are cut (others: one in two).
 START = {"complete": 0.01, "quote_ends": 0.1, "number_ends": 0.1, "list": 0.1, "quote_goes_on": 0.7, "number_goes_on": 0.7, "open": 0.9, "abbreviation": 0.9}
 PRIOR = 1.0
@@ -193,15 +193,16 @@ def fitted(counted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     pairs = [F.lit(x) for kv in START.items() for x in kv]
     df = counted.withColumn("p", F.coalesce(F.element_at(F.create_map(*pairs), F.col("kind")), F.lit(0.5)))
     for _ in range(rounds):
-        df = written(df, "fit")
+        stored = written(df, "fit")
         # of each kind, expected cut and whole values, out of those of its form: as many rows as kinds
-        by_kind = df.groupBy("is_list", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("cut"), F.sum(F.col("n") * (1 - F.col("p"))).alias("whole")).collect()
+        by_kind = stored.groupBy("is_list", "kind").agg(F.sum(F.col("n") * F.col("p")).alias("cut"), F.sum(F.col("n") * (1 - F.col("p"))).alias("whole")).collect()
         ratio = {"": 0.0}
         for r in by_kind:
             start = {x.kind: START.get(x.kind, 0.5) for x in by_kind if x.is_list == r.is_list}
             cut = sum(x.cut + PRIOR * start[x.kind] for x in by_kind if x.kind in start)
             whole = sum(x.whole + PRIOR * (1 - start[x.kind]) for x in by_kind if x.kind in start)
             ratio[r.kind] = math.log((r.cut + PRIOR * start[r.kind]) / cut) - math.log((r.whole + PRIOR * (1 - start[r.kind])) / whole)
+        df = stored.repartition("source_id", "field_name")  # one exchange for all three windows
         piece, at = Window.partitionBy("source_id", "field_name", "bin"), Window.partitionBy("source_id", "field_name", "len")
         natural = (F.sum(F.col("n") * (1 - F.col("p"))).over(Window.partitionBy("source_id", "field_name", "is_list", "bin")) + SMOOTH) / F.col("own_exposure")
         spread = (F.sum(F.when(~F.col("is_limit"), F.col("n") * F.col("p")).otherwise(0.0)).over(piece) + SMOOTH) / F.col("exposure")
