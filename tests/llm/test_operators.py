@@ -136,6 +136,25 @@ def test_batches_follow_the_order_of_arrival(spark):
     assert got == [(10, 19), (30, 36), (50, 50), (history._LAST, history._LAST)]
 
 
+def test_history_batches_at_once_cost_few_jobs(spark, tmp_path):
+    """Every job leaves plans, threads and code in the driver: with 19 a batch 24 batches took more than 1500 MB of it."""
+    rng = random.Random(4)
+    old, new = story_rows(rng, 40, "o"), story_rows(rng, 120, "n")
+    last = lambda: spark.range(1).count() and max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    index = history.HistoryIndex(spark, f"{tmp_path}/i")
+    index.append(history.prepared(spark.createDataFrame(old, ROW)), "history")
+    batch = spark.createDataFrame([(*r, i, i // 20) for i, r in enumerate(new)], ROW + ", arrival_no bigint, batch_no int")
+    took = []
+    for part, name in ((batch.where("batch_no < 1"), "a"), (batch.where("batch_no >= 1"), "b")):
+        ranges, began = history.in_batches(part), last()
+        found = index.ingest_all(part, [low for low, _ in ranges], [f"{name}{i}" for i in range(len(ranges))])
+        took.append(last() - began)
+        assert len(ranges) == (1 if name == "a" else 5) and len(index.segments()) == (2 if name == "a" else 7)
+        took[-1] = (took[-1], {r.id for r in found.where("is_duplicate").collect()})
+    assert took[0][1] | took[1][1] == brute_history(old, new)
+    assert (took[1][0] - took[0][0]) / 4 <= 11, took
+
+
 def test_history_copies_and_empty(spark, tmp_path):
     index = history.HistoryIndex(spark, f"{tmp_path}/i")
     index.append(history.prepared(spark.createDataFrame([], ROW)))
